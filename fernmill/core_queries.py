@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fernmill.operators import snapshots
+from fernmill.operators import instants, snapshots
 from fernmill.session import table
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return instants.normalised(table(spark, d, "list_item"), table(spark, d, "posting"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.posting_changes(table(spark, d, "posting"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_found": p7_found}
+    return {"p5_found": p5_found, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
