@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fernmill.llm import bpe, pairs, topn
+from fernmill.llm import bpe, leaks, pairs, stuffing, textform, topn
 from fernmill.session import table
 
 
@@ -18,12 +18,29 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.skill_pairs(table(spark, d, "posting_skill")).select("skill_id_a", "skill_id_b")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return textform.inconsistent_texts(table(spark, d, "raw_document"), table(spark, d, "posting")).drop("norm")
+
+
+def p6_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent form of each text that is not in it."""
+    return textform.inconsistent_texts(table(spark, d, "raw_document"), table(spark, d, "posting"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"), key="doc_id", text="text")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item"), doc_key="doc_id", doc_text="text", item_key="item_id", item_text="text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, d, "documents"), key="doc_id", text="text").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p8_ids": p8_ids}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_forms": p6_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
