@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fernmill.llm import bpe, leaks, pairs, stuffing, textform, topn
+from fernmill.llm import bpe, leaks, names, pairs, stuffing, textform, topn
 from fernmill.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.company_pairs(table(spark, d, "company"))
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each company row with its organisation's class."""
+    return names.organisations(table(spark, d, "company"), row="company_id", key="saramin_csn", name="name", group="group_name").withColumnRenamed("row", "company_id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_skills(table(spark, d, "job_skill_stat")).selectExpr("job_id", "date_format(calc_date, 'yyyy-MM-dd') AS calc_date", "skill_id")
 
@@ -40,7 +49,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_forms": p6_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_forms": p6_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
