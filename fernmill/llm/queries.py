@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fernmill.llm import bpe, leaks, names, pairs, stuffing, textform, topn
+from fernmill.llm import bpe, canon, leaks, names, pairs, stuffing, textform, topn
 from fernmill.session import table
 
 
@@ -27,6 +27,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.skill_pairs(table(spark, d, "posting_skill")).select("skill_id_a", "skill_id_b")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return canon.meant_entries(table(spark, d, "skill"), table(spark, d, "skill_alias"), table(spark, d, "raw_document"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return textform.inconsistent_texts(table(spark, d, "raw_document"), table(spark, d, "posting")).drop("norm")
 
@@ -49,7 +53,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_forms": p6_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_forms": p6_forms, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
