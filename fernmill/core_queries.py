@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fernmill.operators import instants, snapshots
+from fernmill.functions import columns, listtexts
+from fernmill.operators import dimensions, instants, matcher, merge, report, selection, snapshots, stats
 from fernmill.session import table
+from fernmill.sources import html, store
+
+Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,25 +22,260 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.posting_changes(table(spark, d, "posting"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p7_found": p7_found}
+# -- statistic and report -----------------------------------------------------------------
+def _state(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(current postings, area links, posting skills, skills)."""
+    deliveries = table(spark, d, "posting")
+    return selection.current(deliveries), selection.area_links(deliveries), table(spark, d, "posting_skill"), table(spark, d, "skill")
 
 
-def oracle_sql() -> dict[str, str]:
+def job_skill_stat(spark: SparkSession, d: str) -> DataFrame:
+    return stats.job_skill_stat(*_state(spark, d))
+
+
+def stat_top20(spark: SparkSession, d: str) -> DataFrame:
+    return stats.top_of_latest(table(spark, d, "job_skill_stat"), table(spark, d, "skill"))
+
+
+def stat_replace_day(spark: SparkSession, d: str) -> DataFrame:
+    """The stored statistic with its latest day replaced by that day's first twenty ranks."""
+    old = table(spark, d, "job_skill_stat")
+    new = stats.top_of_latest(old, table(spark, d, "skill")).select("calc_date", "job_id", "posting_cnt", "ratio")
+    return stats.replace_day(old.select("calc_date", "job_id", "posting_cnt", "ratio"), new).groupBy("calc_date").agg(F.count("*").alias("cnt"), F.sum("posting_cnt").cast("bigint").alias("posting_cnt"))
+
+
+def report_totals(spark: SparkSession, d: str) -> DataFrame:
+    posting, links, posting_skill, skill = _state(spark, d)
+    return report.totals(posting, table(spark, d, "company"), links, posting_skill, skill)
+
+
+def report_jobs(spark: SparkSession, d: str) -> DataFrame:
+    return report.jobs(*_state(spark, d))
+
+
+def report_sources(spark: SparkSession, d: str) -> DataFrame:
+    return report.sources(table(spark, d, "posting_skill"))
+
+
+def report_categories(spark: SparkSession, d: str) -> DataFrame:
+    return report.categories(table(spark, d, "posting_skill"), table(spark, d, "skill"))
+
+
+def report_careers(spark: SparkSession, d: str) -> DataFrame:
+    return report.careers(_state(spark, d)[0])
+
+
+def report_deadlines(spark: SparkSession, d: str) -> DataFrame:
+    return report.deadlines(_state(spark, d)[0])
+
+
+def report_text_only(spark: SparkSession, d: str) -> DataFrame:
+    posting, _, posting_skill, skill = _state(spark, d)
+    return report.text_only(posting, posting_skill, skill)
+
+
+def report_runs(spark: SparkSession, d: str) -> DataFrame:
+    return report.last_runs(table(spark, d, "posting"))
+
+
+# -- selections and guards ----------------------------------------------------------------
+def open_per_job(spark: SparkSession, d: str) -> DataFrame:
+    posting, links, _, _ = _state(spark, d)
+    return selection.open_per_job(posting, links)
+
+
+def detail_targets(spark: SparkSession, d: str) -> DataFrame:
+    return selection.detail_targets(_state(spark, d)[0])
+
+
+def skill_targets(spark: SparkSession, d: str) -> DataFrame:
+    return selection.skill_targets(_state(spark, d)[0])
+
+
+def _before(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings of the delivery before the last, those of the last, area links)."""
+    deliveries = table(spark, d, "posting")
+    last = deliveries.agg(F.max("snap_no").alias("snap_no"))
+    earlier = deliveries.join(F.broadcast(last), "snap_no", "left_anti")
+    return selection.current(earlier), selection.current(deliveries), selection.area_links(deliveries)
+
+
+def missing_guard_job(spark: SparkSession, d: str) -> DataFrame:
+    return selection.missing_by_job(*_before(spark, d))
+
+
+def missing_guard_overall(spark: SparkSession, d: str) -> DataFrame:
+    before, now, _ = _before(spark, d)
+    return selection.missing_overall(before, now)
+
+
+def _last_snap(spark: SparkSession, d: str) -> int:
+    return table(spark, d, "posting").agg(F.max("snap_no")).first()[0] or 0
+
+
+def stale_link_guard(spark: SparkSession, d: str) -> DataFrame:
+    posting, links, _, _ = _state(spark, d)
+    return selection.stale_links(posting, links, _last_snap(spark, d))
+
+
+def unlink_unconfirmed(spark: SparkSession, d: str) -> DataFrame:
+    posting, links, _, _ = _state(spark, d)
+    last = _last_snap(spark, d)
+    return selection.drop_unconfirmed(links, selection.stale_links(posting, links, last), last).select("posting_id", "job")
+
+
+def list_completeness(spark: SparkSession, d: str) -> DataFrame:
+    """For each delivery whether it has all postings of the one before and whether it dropped by half."""
+    sizes = table(spark, d, "posting").groupBy("snap_no").agg(F.countDistinct("posting_id").alias("seen"))
+    before = sizes.select((F.col("snap_no")).alias("p"), F.col("seen").alias("total"))
+    pairs = table(spark, d, "posting").select("snap_no").distinct().alias("a").join(sizes.select(F.col("snap_no").alias("q")).alias("b"), F.col("a.snap_no") > F.col("b.q")).groupBy("snap_no").agg(F.max("q").alias("p"))
+    return sizes.join(pairs, "snap_no", "left").join(before, "p", "left").select(
+        "snap_no", "seen", "total", selection.list_complete(F.col("total"), F.col("seen")).alias("complete"), F.coalesce(selection.half_dropped(F.col("total"), F.col("seen")), F.lit(False)).alias("dropped")
+    )
+
+
+def raw_retention(spark: SparkSession, d: str) -> DataFrame:
+    return selection.retention(_state(spark, d)[0], F.lit("2026-12-31 00:00:00").cast("timestamp_ntz"), 90)
+
+
+def posting_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The state before the last delivery, after that delivery is merged into it."""
+    before, now, _ = _before(spark, d)
+    cols = ["posting_id", "title", "region", "deadline_on", "first_seen_at", "last_seen_at", "detail_fail_cnt"]
+    rules = {
+        "title": merge.take_if_known, "region": merge.take, "deadline_on": merge.later, "first_seen_at": merge.earlier, "last_seen_at": merge.later, "detail_fail_cnt": merge.add,
+    }
+    return merge.upsert(before.select(*cols), now.select(*cols), ["posting_id"], rules).select("posting_id", "title", "region", "deadline_on", F.col("detail_fail_cnt").cast("bigint").alias("detail_fail_cnt"))
+
+
+def company_lookup(spark: SparkSession, d: str) -> DataFrame:
+    seen = table(spark, d, "list_item").select(F.col("company_name").alias("name"), F.col("company_csn").alias("csn"))
+    return dimensions.company_keys(table(spark, d, "company"), seen)
+
+
+def alias_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return dimensions.alias_conflicts(table(spark, d, "skill"), table(spark, d, "skill_alias").where("skill is not null"))
+
+
+def skill_sync_plan(spark: SparkSession, d: str) -> DataFrame:
+    """The plan from the active skills, the names in capitals where the code is even, to a seed of every third renamed."""
+    stored = table(spark, d, "skill")
+    seed = stored.where("skill_id % 7 != 0").select(F.col("saramin_code").cast("int").alias("code"), F.when(F.col("skill_id") % 3 == 0, F.concat(F.lit("New "), F.col("name"))).otherwise(F.col("name")).alias("name"), "category")
+    return dimensions.skill_plan(seed, stored).select("action", F.col("skill_id").cast("bigint").alias("skill_id"), "code", "name", "category")
+
+
+# -- texts --------------------------------------------------------------------------------
+def _seen(spark: SparkSession, d: str) -> DataFrame:
+    """List items with the epoch second and the UTC day at which they were seen."""
+    item = table(spark, d, "list_item").withColumn("now_s", F.floor(F.unix_micros("seen_at") / 1_000_000).cast("bigint"))
+    return item.withColumn("today", columns.utc_day(F.col("now_s")))
+
+
+def parse_deadline(spark: SparkSession, d: str) -> DataFrame:
+    df = _seen(spark, d).select("item_id", listtexts.deadline(F.col("deadline_text"), F.col("today")).alias("x"))
+    return df.select("item_id", F.col("x.type").alias("type"), F.date_format("x.date", "yyyy-MM-dd").alias("date"), "x.unknown")
+
+
+def parse_posted(spark: SparkSession, d: str) -> DataFrame:
+    df = _seen(spark, d).select("item_id", listtexts.posted(F.col("posted_text"), F.col("now_s")).alias("x"))
+    return df.where("x is not null").select("item_id", "x.modified", "x.at_second", "x.precision_second", listtexts.tolerance_minutes(F.col("x.precision_second")).alias("tolerance"))
+
+
+def parse_career(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "list_item").select("item_id", listtexts.career(F.col("career_text")).alias("x"))
+    return df.select("item_id", "x.type", "x.exp_min", "x.exp_max")
+
+
+def text_cut(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "list_item").select("item_id", columns.cut(F.col("title"), 20).alias("title"), columns.is_blank(F.col("deadline_text")).alias("blank"))
+
+
+def match_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The skills whose full names stand in documents, the longest names first."""
+    names = table(spark, d, "skill").select(F.lower("name").alias("alias"), "skill_id", F.lit(1).alias("text_match"))
+    patterns = matcher.alias_patterns(spark, names)
+    return matcher.match_names(table(spark, d, "documents"), patterns, key=["doc_id"], text="text")
+
+
+def _raw_tags(spark: SparkSession, d: str) -> DataFrame:
+    raw = table(spark, d, "raw_document").select("raw_id", F.explode("tags").alias("t"))
+    return raw.select(F.col("raw_id").alias("posting_id"), "t.code", "t.name")
+
+
+def _aliases(spark: SparkSession, d: str) -> DataFrame:
+    """(alias, skill_id, text_match) of the aliases whose typed skill is a skill's name."""
+    skill = table(spark, d, "skill").select("skill_id", F.lower("name").alias("k"))
+    listed = table(spark, d, "skill_alias").select("alias", F.lower("skill").alias("k"), "text_match").join(skill, "k").select("alias", "skill_id", "text_match")
+    own = skill.select(F.col("k").alias("alias"), "skill_id", F.lit(1).alias("text_match"))
+    return listed.unionByName(own)
+
+
+def tag_skills(spark: SparkSession, d: str) -> DataFrame:
+    resolved = matcher.resolved_tags(_raw_tags(spark, d), table(spark, d, "skill"), _aliases(spark, d))
+    return resolved.where("skill_id is not null").groupBy("skill_id").agg(F.count("*").alias("tags"), F.countDistinct("posting_id").alias("documents"))
+
+
+def unmatched_tags(spark: SparkSession, d: str) -> DataFrame:
+    return matcher.unmatched_tags(matcher.resolved_tags(_raw_tags(spark, d), table(spark, d, "skill"), _aliases(spark, d)))
+
+
+def match_raw_skills(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct (raw_id, skill_id, source) of tags and of the texts, by aliases in context."""
+    raw = table(spark, d, "raw_document")
+    aliases = _aliases(spark, d)
+    patterns = matcher.alias_patterns(spark, aliases)
+
+    def of(column: str) -> DataFrame:
+        lines = raw.select(F.col("raw_id").alias("posting_id"), F.array_join(column, "\n").alias("text"))
+        return matcher.match_names(lines, patterns, key=["posting_id"], text="text")
+
+    tags = matcher.resolved_tags(_raw_tags(spark, d), table(spark, d, "skill"), aliases)
+    return matcher.with_sources(tags, of("required"), of("preferred")).withColumnRenamed("posting_id", "raw_id")
+
+
+# -- pages and documents ------------------------------------------------------------------
+def _escaped(c: str):  # type: ignore[no-untyped-def]
+    s = F.col(c)
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        s = F.replace(s, F.lit(a), F.lit(b))
+    return s
+
+
+def list_page_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items of list pages, written as HTML from the list items and read back from it."""
+    tag = lambda name, cls, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f'<{name} class="{cls}">'), _escaped(c), F.lit(f"</{name}>"))).otherwise("")
+    item = table(spark, d, "list_item")
+    page = item.select(
+        "item_id",
+        F.concat(
+            F.lit('<html><body><div class="list_body"><div class="list_item" id="rec-'), F.col("posting_id"), F.lit('"><div class="company_nm"><a class="str_tit" href="/c?x=1&amp;csn='),
+            F.coalesce(F.replace(F.replace(_escaped("company_csn"), F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20")), F.lit("")), F.lit('">'), _escaped("company_name"), F.lit("</a>"),
+            tag("span", "main_corp", "group_name"), tag("span", "info_stock", "size_label"), F.lit('</div><div class="job_tit"><a href="#">'), F.coalesce(_escaped("title"), F.lit("")), F.lit("</a></div>"),
+            tag("p", "work_place", "region"), tag("p", "career", "career_text"), tag("p", "education", "education_text"), F.lit("</div></div></body></html>"),
+        ).alias("html"),
+    )
+    return html.list_items(page).select("item_id", "posting_id", "group_name", "size_label", "region", "career_text", "education_text")
+
+
+def raw_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Raw documents written as JSON and read back, as counts of their parts."""
+    body = store.to_json(table(spark, d, "raw_document"), "raw_id")
+    n = lambda c: F.coalesce(F.size(c), F.lit(-1)).cast("bigint")
+    return store.from_json(body, "raw_id").select("raw_id", "readable", *[F.when(F.col(c).isNull(), F.lit(-1)).otherwise(n(c)).cast("bigint").alias(c) for c in ("tags", "required", "preferred")])
+
+
+def queries() -> dict[str, Query]:
     return {
-        "p7_found": """
-            WITH one AS (
-                SELECT * FROM posting WHERE posting_id IS NOT NULL AND snap_no IS NOT NULL
-                QUALIFY row_number() OVER (PARTITION BY snap_no, posting_id ORDER BY last_seen_at DESC NULLS LAST, row_id DESC) = 1),
-            s AS (SELECT snap_no, lag(snap_no) OVER (ORDER BY snap_no) AS prev FROM (SELECT DISTINCT snap_no FROM one)),
-            cur AS (SELECT one.*, s.prev FROM one JOIN s USING (snap_no) WHERE s.prev IS NOT NULL),
-            prv AS (SELECT one.*, s.snap_no AS next_no FROM one JOIN s ON s.prev = one.snap_no)
-            SELECT coalesce(c.snap_no, p.next_no)::BIGINT AS snap_no, coalesce(c.posting_id, p.posting_id) AS posting_id,
-                   CASE WHEN p.posting_id IS NULL THEN 'added' WHEN c.posting_id IS NULL THEN 'removed' ELSE 'changed' END AS change
-            FROM cur c FULL JOIN prv p ON p.next_no = c.snap_no AND p.posting_id = c.posting_id
-            WHERE p.posting_id IS NULL OR c.posting_id IS NULL
-               OR c.company_id IS DISTINCT FROM p.company_id OR c.title IS DISTINCT FROM p.title OR c.region IS DISTINCT FROM p.region
-               OR c.deadline_on IS DISTINCT FROM p.deadline_on OR c.is_closed IS DISTINCT FROM p.is_closed
-               OR date_trunc('second', c.closed_at) IS DISTINCT FROM date_trunc('second', p.closed_at)
-               OR date_trunc('second', c.first_seen_at) IS DISTINCT FROM date_trunc('second', p.first_seen_at)""",
-    }
+        f.__name__: f
+        for f in (
+            p5_found, p7_found, job_skill_stat, stat_top20, stat_replace_day, report_totals, report_jobs, report_sources, report_categories, report_careers, report_deadlines, report_text_only, report_runs,
+            open_per_job, detail_targets, skill_targets, missing_guard_job, missing_guard_overall, stale_link_guard, unlink_unconfirmed, list_completeness, raw_retention, posting_upsert, company_lookup,
+            alias_conflicts, skill_sync_plan, parse_deadline, parse_posted, parse_career, text_cut, match_documents, tag_skills, unmatched_tags, match_raw_skills, list_page_items, raw_round_trip,
+        )
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    from fernmill.core_sql import SQL
+
+    return SQL

@@ -80,7 +80,7 @@ AHEAD = [
     (re.compile(r"^(?:오늘)\s*(?:\d{1,2}시)?\s*(?:마감|까지)?$|^(?:closes|ends|until|due)?\s*today$|^(?:endet|bis)?\s*heute$|^\d{1,2}시\s*마감$|^당일\s*마감$"), 0),
 ]
 MONTH_DAY = re.compile(r"^(?P<a>\d{1,2})\s*(?:[./-]|월)\s*(?P<b>\d{1,2})\s*일?\.?" + _WEEKDAY + r"(?:\s*\d{1,2}\s*(?::\s*\d{2}|시(?:\s*\d{1,2}분)?))?$")
-_HIDDEN = re.compile("[­͏؜​-‏‪-‮⁠-⁯︀-️﻿]")
+_HIDDEN = re.compile("[\u00ad\u034f\u061c\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
 _FOREIGN = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + "]")
 _LATIN = str.maketrans({k: v for k, v in LOOKALIKES.items()})
 
