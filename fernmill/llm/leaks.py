@@ -35,8 +35,8 @@ WORD = re.compile(r"[^\W_]+")
 _LATIN = str.maketrans({k: v for k, v in LOOKALIKES.items()})
 
 
-_STRANGE = re.compile("[̀-ͯ­͏؜᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿" + "".join(map(re.escape, LOOKALIKES)) + "]")
-_HIDDEN = re.compile("[̀-ͯ­͏؜ᅟᅠ᠋-᠎​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ]")
+_STRANGE = re.compile("[\u0300-\u036f\u00ad\u034f\u061c\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff" + "".join(map(re.escape, LOOKALIKES)) + "]")
+_HIDDEN = re.compile("[\u0300-\u036f\u00ad\u034f\u061c\u115f\u1160\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0]")
 
 
 def words_of(text: str) -> list[str]:

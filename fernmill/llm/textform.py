@@ -20,7 +20,7 @@ from fernmill.functions.lookalikes import LOOKALIKES
 #: Characters without a picture of their own; joiners stay inside emoji sequences.
 INVISIBLE = [0x00AD, 0x034F, 0x061C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0x3164, 0xFEFF, 0xFFA0, *range(0xFFF9, 0xFFFC), *range(0x1D173, 0x1D17B), *range(0xE0000, 0xE0080)]
 SPACES = [0x0009, 0x000B, 0x000C, 0x0085, 0x00A0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-ZWJ, VS15, VS16 = "‍", "︎", "️"
+ZWJ, VS15, VS16 = "\u200d", "\ufe0e", "\ufe0f"
 
 
 def _mapping() -> dict[str, str]:
@@ -62,12 +62,12 @@ class Transducer:
         self.known: dict[str, str] = {}
         #: Anything that the mapping could change; a text without it is passed through.
         lookalike = "".join(map(re.escape, LOOKALIKES))
-        self.dirty = regex.compile("[" + "".join(map(re.escape, self.map)) + lookalike + r"\p{M}ᄀ-ᇿꥠ-꥿ힰ-퟿]")
+        self.dirty = regex.compile("[" + "".join(map(re.escape, self.map)) + lookalike + r"\p{M}\u1100-\u11ffꥠ-꥿ힰ-퟿]")
         self.foreign = regex.compile("[" + lookalike + "]")
         self.word = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
         self.latin = regex.compile(r"\p{Script=Latin}")
         self.strange = regex.compile(r"[^\P{L}\p{Script=Latin}]")
-        self.emoji = regex.compile(r"\p{Extended_Pictographic}|\p{Regional_Indicator}|[0-9#*]️?⃣")
+        self.emoji = regex.compile(r"\p{Extended_Pictographic}|\p{Regional_Indicator}|[0-9#*]\ufe0f?\u20e3")
 
     def cluster(self, g: str) -> str:
         """What one grapheme cluster becomes."""
