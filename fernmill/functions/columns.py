@@ -16,7 +16,14 @@ def found(text: Column, pattern: str) -> Column:
 
 def day(year: Column, month: Column, dom: Column) -> Column:
     """A date, or null where the three make none."""
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, dom))
+    # a failed to_date costs an exception a row, a failed try_cast does not
+    return F.when(year.isNotNull() & month.isNotNull() & dom.isNotNull(), F.format_string("%04d-%02d-%02d", year, month, dom).try_cast("date"))
+
+
+def let(parts: dict[str, Column], body) -> Column:  # type: ignore[no-untyped-def]
+    """``body`` of named parts that are computed once a row, however often it uses them."""
+    bound = F.array(F.struct(*[c.alias(n) for n, c in parts.items()]))
+    return F.transform(bound, lambda x: body({n: x[n] for n in parts}))[0]
 
 
 def is_blank(text: Column) -> Column:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from fernmill.functions.columns import day, found, is_blank, number
+from fernmill.functions.columns import day, found, is_blank, let, number
 
 #: How list pages write deadlines, times and years of experience.
 TILDE_FULL_DATE = r"~\s*(\d{4})\s*[./-]\s*(\d{1,2})\s*[./-]\s*(\d{1,2})(?!\d)"
@@ -36,29 +36,38 @@ def nearest_year(month: Column, dom: Column, today: Column) -> Column:
 
 def deadline(text: Column, today: Column) -> Column:
     """struct(type, date, unknown); null and blank texts are unknown dates."""
-    tight = F.regexp_replace(text, " ", "")
-    full = day(*[number(text, TILDE_FULL_DATE, k) for k in (1, 2, 3)])
-    tilde = nearest_year(number(text, TILDE_MONTH_DAY, 1), number(text, TILDE_MONTH_DAY, 2), today)
-    close = nearest_year(number(text, MONTH_DAY_THEN_CLOSE, 1), number(text, MONTH_DAY_THEN_CLOSE, 2), today)
-    ahead = number(text, D_MINUS, 1)
+    first = {
+        "text": text, "today": today, "tight": F.regexp_replace(text, " ", ""), "blank": is_blank(text), "ahead": number(text, D_MINUS, 1),
+        "y": number(text, TILDE_FULL_DATE, 1), "m": number(text, TILDE_FULL_DATE, 2), "d": number(text, TILDE_FULL_DATE, 3),
+        "m1": number(text, TILDE_MONTH_DAY, 1), "d1": number(text, TILDE_MONTH_DAY, 2),
+        "m2": number(text, MONTH_DAY_THEN_CLOSE, 1), "d2": number(text, MONTH_DAY_THEN_CLOSE, 2),
+    }
     on = lambda d: F.struct(F.lit("DATE").alias("type"), d.cast("date").alias("date"), F.lit(False).alias("unknown"))
     open_end = lambda kind: F.struct(F.lit(kind).alias("type"), F.lit(None).cast("date").alias("date"), F.lit(False).alias("unknown"))
     unknown = F.struct(F.lit("DATE").alias("type"), F.lit(None).cast("date").alias("date"), F.lit(True).alias("unknown"))
-    return (
-        F.when(is_blank(text), unknown)
-        .when(tight.contains("채용시"), open_end("UNTIL_FILLED"))
-        .when(tight.contains("상시"), open_end("ALWAYS"))
-        .when(tight.contains("수시"), open_end("ROLLING"))
-        .when(full.isNotNull(), on(full))
-        .when(tilde.isNotNull(), on(tilde))
-        .when(close.isNotNull(), on(close))
-        .when(found(text, D_DAY), on(today))
-        .when(ahead > MOST_DAYS_AHEAD, unknown)
-        .when(ahead.isNotNull(), on(F.date_add(today, ahead)))
-        .when(tight.contains("내일"), on(F.date_add(today, 1)))
-        .when(tight.contains("오늘마감") | found(tight, HOUR_CLOSE), on(today))
-        .otherwise(unknown)
-    )
+
+    def dated(p: dict[str, Column]) -> Column:
+        dates = {"full": day(p["y"], p["m"], p["d"]), "tilde": nearest_year(p["m1"], p["d1"], p["today"]), "close": nearest_year(p["m2"], p["d2"], p["today"])}
+        return let(p | dates, ladder)
+
+    def ladder(p: dict[str, Column]) -> Column:
+        return (
+            F.when(p["blank"], unknown)
+            .when(p["tight"].contains("채용시"), open_end("UNTIL_FILLED"))
+            .when(p["tight"].contains("상시"), open_end("ALWAYS"))
+            .when(p["tight"].contains("수시"), open_end("ROLLING"))
+            .when(p["full"].isNotNull(), on(p["full"]))
+            .when(p["tilde"].isNotNull(), on(p["tilde"]))
+            .when(p["close"].isNotNull(), on(p["close"]))
+            .when(found(p["text"], D_DAY), on(p["today"]))
+            .when(p["ahead"] > MOST_DAYS_AHEAD, unknown)
+            .when(p["ahead"].isNotNull(), on(F.date_add(p["today"], p["ahead"])))
+            .when(p["tight"].contains("내일"), on(F.date_add(p["today"], 1)))
+            .when(p["tight"].contains("오늘마감") | found(p["tight"], HOUR_CLOSE), on(p["today"]))
+            .otherwise(unknown)
+        )
+
+    return let(first, dated)
 
 
 def posted(text: Column, now_second: Column) -> Column:
@@ -85,14 +94,24 @@ def tolerance_minutes(precision_second: Column) -> Column:
 
 def career(text: Column) -> Column:
     """struct(type, exp_min, exp_max) of a career text; all null for null and blank."""
-    t = F.regexp_replace(text, " ", "")
-    both = number(t, YEARS_BETWEEN, 1).isNotNull()
-    low = F.when(both, number(t, YEARS_BETWEEN, 1)).otherwise(F.coalesce(number(t, YEARS_AT_LEAST, 1), number(t, YEARS_OPEN, 1)))
-    high = F.when(both, number(t, YEARS_BETWEEN, 2)).otherwise(number(t, YEARS_AT_MOST, 1))
+    return let({"t": F.regexp_replace(text, " ", ""), "blank": is_blank(text)}, _career_parts)
+
+
+def _career_parts(p: dict[str, Column]) -> Column:
+    t = p["t"]
+    numbers = {
+        "from": number(t, YEARS_BETWEEN, 1), "to": number(t, YEARS_BETWEEN, 2), "least": F.coalesce(number(t, YEARS_AT_LEAST, 1), number(t, YEARS_OPEN, 1)), "most": number(t, YEARS_AT_MOST, 1),
+    }
+    return let(p | numbers, _career)
+
+
+def _career(p: dict[str, Column]) -> Column:
+    t, both = p["t"], p["from"].isNotNull()
+    low, high = F.when(both, p["from"]).otherwise(p["least"]), F.when(both, p["to"]).otherwise(p["most"])
     new, old = t.contains("신입"), t.contains("경력")
     kind = (
         F.when(t.contains("경력무관"), "ANY").when(new & old, "NEW_OR_EXP").when(new, "NEW").when(old, "EXPERIENCED")
         .when(low.isNotNull() | high.isNotNull(), "EXPERIENCED")
     )
-    blank = is_blank(text)
+    blank = p["blank"]
     return F.struct(F.when(~blank, kind).alias("type"), F.when(~blank, low).alias("exp_min"), F.when(~blank, high).alias("exp_max"))

@@ -19,6 +19,7 @@ from zoneinfo import ZoneInfo, available_timezones
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from fernmill.functions.columns import day as day_of
 from fernmill.functions.lookalikes import LOOKALIKES
 from fernmill.session import path_exists, scratch
 
@@ -302,8 +303,7 @@ def next_month_day(month_day: Column, day: Column) -> Column:
     """The first such day not earlier than 30 days before ``day``; leap days wait for their year."""
     least = F.date_sub(day, 30)
     month, d = F.floor(month_day / 100).cast("int"), (month_day % 100).cast("int")
-    at = lambda k: F.try_to_date(F.format_string("%04d-%02d-%02d", F.year(least) + F.lit(k), month, d))
-    tries = [at(k) for k in range(9)]
+    tries = [day_of(F.year(least) + F.lit(k), month, d) for k in range(9)]
     return F.coalesce(*[F.when(t >= least, t) for t in tries])
 
 

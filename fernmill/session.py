@@ -46,6 +46,15 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its scan has fewer partitions than there are (a small file is one).
+
+    For operators that spend much time a row; a large scan has more partitions and isn't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut, executors may go."""
     path = scratch(df.sparkSession, label)
