@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from fernmill.session import spread
+
 #: The vocabulary's splitting pattern; a fixed value of the public vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -200,5 +202,5 @@ def encode(df: DataFrame, *, key: str, text: str, vocabulary: str = DEFAULT_VOCA
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), pa.array(ids, pa.list_(pa.int32()))], names=["key", "ids"])
                 at = end
 
-    out = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {key_type}, ids array<int>")
+    out = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(run, f"key {key_type}, ids array<int>")
     return out.select(F.col("key").alias(key), "ids")

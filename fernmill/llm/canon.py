@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fernmill.llm.textform import transducer
+from fernmill.session import spread
 
 NO_ENTRY = -1
 #: The most entries and aliases of a dictionary that is broadcast.
@@ -365,5 +366,5 @@ def meant_entries(skill: DataFrame, alias: DataFrame, documents: DataFrame) -> D
 
     schema = "field string, row_key bigint, skill_id bigint"
     of_alias = alias.select(F.col("alias_id").cast("bigint").alias("k"), "skill").where("skill is not null and k is not null").mapInArrow(values, schema)
-    of_lists = documents.select(F.col("raw_id").cast("bigint").alias("k"), "required", "preferred").where("k is not null").mapInArrow(lists, schema)
+    of_lists = spread(documents.select(F.col("raw_id").cast("bigint").alias("k"), "required", "preferred").where("k is not null")).mapInArrow(lists, schema)
     return of_alias.unionByName(of_lists)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fernmill.functions.lookalikes import LOOKALIKES
+from fernmill.session import spread
 
 LEAST, ONE_IN, SEED = 20, 7, 5
 BLOCK = 2
@@ -181,4 +182,4 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, doc_key: str, doc_te
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(ids, pa.int64())], names=["d", "i"])
 
     texts = documents.select(F.col(doc_key).alias("d"), F.col(doc_text).alias("t")).where(F.length("t") > 0)
-    return texts.mapInArrow(run, f"d {kinds[0]}, i bigint").select(F.col("d").alias(doc_key), F.col("i").cast(kinds[1]).alias(item_key))
+    return spread(texts).mapInArrow(run, f"d {kinds[0]}, i bigint").select(F.col("d").alias(doc_key), F.col("i").cast(kinds[1]).alias(item_key))

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from fernmill.session import spread
+
 #: Terms compared for recurrence lie at most so far apart; the share of recurring terms is taken in windows of this length.
 GAP, RECURRING = 24, 0.62
 #: Lags of the autocorrelation and the share of equal terms in a lag window.
@@ -178,4 +180,4 @@ def stuffed_pages(df: DataFrame, *, key: str, text: str) -> DataFrame:
             )
 
     kept = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
-    return kept.mapInArrow(run, f"key {kind}, terms int, recurring double, periodic double, listed double, marked double").withColumnRenamed("key", key)
+    return spread(kept).mapInArrow(run, f"key {kind}, terms int, recurring double, periodic double, listed double, marked double").withColumnRenamed("key", key)
