@@ -233,16 +233,16 @@ class Dictionary:
         found: list[tuple[float, int, int]] = []
         letters = sum("가" <= c <= "힣" for c in key)
         hangul = letters > 0
-        if hangul and sum(c in self.syllables for c in key) < letters - 2:
-            return None
+        # an edit is looked for only where all but two syllables are the list's own
+        known = not hangul or sum(c in self.syllables for c in key) >= letters - 2
         if hangul and len(key) >= HANGUL_LEAST:
             for other in self._variants(key):
                 s = phonetic(other)
                 if (i := self.sounds.get(s)) is not None and len(s) >= 5:
                     found.append((0.05, -self.frequency[i], i))
-            if not found:
+            if not found and known:
                 found = self._near("hangul", key) + self._near("jamo", jamo(key))
-            if not found:
+            if not found and known:
                 for other in self._variants(key):
                     s = phonetic(other)
                     if len(s) >= SOUND_LEAST:

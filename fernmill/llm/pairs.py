@@ -123,7 +123,7 @@ class PairTable:
     def _merge(self, old: DataFrame | None, delta: DataFrame, keys: list[str], value: str, to: str) -> None:
         merged = delta if old is None else old.select(*keys, value).unionByName(delta.select(*keys, value)).groupBy(*keys).agg(F.sum(value).alias(value))
         bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
-        merged.where(F.col(value) != 0).withColumn("bucket", bucket).repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(to)
+        merged.where(F.col(value) != 0).withColumn("bucket", bucket).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", *keys).write.parquet(to)
 
     def _point(self) -> None:
         jvm = self.spark.sparkContext._jvm

@@ -28,12 +28,9 @@ def _mapping() -> dict[str, str]:
     m = {chr(c): "" for c in INVISIBLE} | {chr(c): " " for c in SPACES}
     m |= {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}  # full-width ASCII
     m |= {"￠": "¢", "￡": "£", "￢": "¬", "￣": "¯", "￤": "¦", "￥": "¥", "￦": "₩"}
-    for c in range(0xFFA1, 0xFFDD):  # half-width Hangul letters
-        if wide := unicodedata.normalize("NFKC", chr(c)):
-            if wide != chr(c):
-                m[chr(c)] = wide
-    for c in range(0xFF61, 0xFFA0):  # half-width Katakana
-        m[chr(c)] = unicodedata.normalize("NFKC", chr(c))
+    for c in (*range(0xFF61, 0xFFA0), *range(0xFFA1, 0xFFDD)):  # half-width Katakana and Hangul letters
+        if (wide := unicodedata.decomposition(chr(c))).startswith("<narrow>"):
+            m[chr(c)] = chr(int(wide.split()[1], 16))
     for c in (0x340, 0x341, 0x343, 0x374, 0x37E, 0x387, 0x1FEF, 0x212A, 0x212B, *range(0xF900, 0xFB00)):  # canonical singletons
         if (one := unicodedata.normalize("NFC", chr(c))) != chr(c):
             m[chr(c)] = one
