@@ -111,13 +111,17 @@ def read_name(name: str) -> tuple[str, str] | None:
     return "", whole
 
 
+#: Marks a Hangul syllable that begins with its vowel; Latin spellings don't tell.
+SILENT = "x"
+
+
 def skeleton(stem: str) -> str:
-    """The phonetic letters of a stem; its Hangul and its Latin spellings share them."""
+    """The phonetic letters of a stem; its Hangul and its Latin spellings share them but for SILENT."""
     out = []
     for ch in stem:
         if "가" <= ch <= "힣":
             c = ord(ch) - 0xAC00
-            out.append(ONSETS[c // 588].replace("-", "") + NUCLEI[c % 588 // 28] + CODAS[c % 28])
+            out.append(ONSETS[c // 588].replace("-", SILENT) + NUCLEI[c % 588 // 28] + CODAS[c % 28])
         else:
             out.append(ch)
     s = "".join(out)
@@ -181,7 +185,7 @@ def spelling(stem: str) -> str:
         if "가" <= run[0] <= "힣":
             for ch in run:
                 c = ord(ch) - 0xAC00
-                out.append(ONSETS[c // 588].replace("-", "") + _HANGUL_VOWELS[c % 588 // 28] + CODAS[c % 28].replace("ng", "n"))
+                out.append(ONSETS[c // 588].replace("-", SILENT) + _HANGUL_VOWELS[c % 588 // 28] + CODAS[c % 28].replace("ng", "n"))
         else:
             for p, r in CONSONANTS:
                 run = p.sub(r, run)
@@ -206,6 +210,8 @@ def _spelled(s: str) -> tuple[Syllable, ...]:
 
 def one_slip(x: str, y: str) -> bool:
     """Whether two spellings differ by one slip: a sound, a syllable more or less, two swapped."""
+    if any(v in x for v in _EITHER) != any(v in y for v in _EITHER):  # one is Latin
+        x, y = x.replace(SILENT, ""), y.replace(SILENT, "")
     a, b = _spelled(x), _spelled(y)
     if abs(len(a) - len(b)) > 1:
         return False
@@ -346,8 +352,12 @@ def radius_join(forms: DataFrame) -> DataFrame:
         rows = sorted(pairs)
         return pa.table({"business": pa.array([kind] * len(rows), pa.string()), "a": pa.array([r[0] for r in rows], pa.string()), "b": pa.array([r[1] for r in rows], pa.string())})
 
+    # a Latin and a Hangul spelling of equal letters: an equi-join, with a row for each way to spell a name
+    letters = F.replace("form", F.lit(SILENT), F.lit("")).alias("letters")
+    one, two = (forms.select("business", letters, F.col("form").alias(c)) for c in ("a", "b"))
+    equal = one.join(two, ["business", "letters"]).where("a < b").select("business", "a", "b")
     both = homes.select(*cols, F.lit(0).alias("side")).unionByName(members.select(*cols, F.lit(1).alias("side")))
-    return both.groupBy(*block).applyInArrow(compare, "business string, a string, b string").distinct()
+    return both.groupBy(*block).applyInArrow(compare, "business string, a string, b string").unionByName(equal).distinct()
 
 
 # -- organisations ------------------------------------------------------------------------

@@ -37,7 +37,7 @@ def test_reading(name):
 
 def test_scripts_meet():
     for latin, hangul in (("Keomsodimsem", "검소딤셈"), ("Burmitusen", "불미투센"), ("LOMJELHALE", "롬젤하레"), ("oltuhohom", "얼투허홈")):
-        assert skeleton(latin.lower()) == skeleton(hangul)
+        assert skeleton(latin.lower()) == skeleton(hangul).replace(names.SILENT, "")
 
 
 words = st.text(alphabet="가나다라마곤덜밀벤", min_size=0, max_size=6).map(lambda s: syllables(skeleton(s)))
@@ -60,7 +60,7 @@ def test_near_pairs_against_brute_force():
 
 @pytest.mark.parametrize(
     ("a", "b", "want"),
-    [("컨쿨탄준", "컨쿨탄즌", True), ("좀칸체눌", "좀칸체눌눌", True), ("길굴컴밀", "길굴컴", True), ("준번촌몬", "번준촌몬", True), ("가나다라", "가나다소", False), ("가나다라", "마나다바", False), ("건털불키", "geonteolbulki", True), ("가나", "가나", True)],
+    [("컨쿨탄준", "컨쿨탄즌", True), ("좀칸체눌", "좀칸체눌눌", True), ("길굴컴밀", "길굴컴", True), ("준번촌몬", "번준촌몬", True), ("가나다라", "가나다소", False), ("가나다라", "마나다바", False), ("건털불키", "geonteolbulki", True), ("좀어얼랄", "어좀얼랄", True), ("오훈투펠", "ohuntupel", True), ("가나", "가나", True)],
 )
 def test_slips(a, b, want):
     assert one_slip(spelling(a), spelling(b)) is want
