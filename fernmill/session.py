@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -28,16 +29,18 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    at = shared_dir(spark).removeprefix("file://").removeprefix("file:")
-    folder = at if at.startswith("/") else tempfile.mkdtemp()
-    os.makedirs(folder, exist_ok=True)
-    archive = os.path.join(folder, f"fernmill-{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for at_dir, _, files in os.walk(root):
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
             for f in files:
                 if f.endswith(".py"):
-                    full = os.path.join(at_dir, f)
+                    full = os.path.join(folder, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    archive = f"{shared_dir(spark)}/fernmill-{uuid.uuid4().hex[:8]}.zip"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(archive)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+    out.write(bytearray(body.getvalue()))
+    out.close()
     spark.sparkContext.addPyFile(archive)
     _shipped.add(app)
 
