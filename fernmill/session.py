@@ -73,9 +73,23 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder for one run's intermediate table."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the shared folder for one run's intermediate table; ``release`` removes it."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the intermediate tables made so far, once their results are written; returns their number."""
+    paths = list(_made)
+    _made.clear()
+    for path in paths:
+        delete_path(spark, path)
+    return len(paths)
 
 
 def spread(df: DataFrame) -> DataFrame:
