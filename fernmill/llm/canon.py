@@ -143,7 +143,9 @@ class Dictionary:
         self.spans: dict[str, tuple[int, float] | None] = {}
         self.texts: dict[str, list[int]] = {}
         self.words = {}
-        self.syllables = frozenset()
+        self.syllables: frozenset[str] = frozenset()
+        self.all_sounds = ""
+        self.said: dict[str, bool] = {}
         for i, name in sorted(entries):
             if key := writing(plain(name)):
                 self.exact.setdefault(key, i)
@@ -153,8 +155,9 @@ class Dictionary:
                 self._keep("sound", sound, i, SOUND_LEAST)
                 self.sounds.setdefault(sound, i)
         texts = [t for a, v in aliases for t in (a, v) if t] + [n for _, n in entries]
-        #: Hangul syllables of the list's own writings; a typed Hangul name has at most two others.
-        self.syllables = frozenset(c for t in texts for c in plain(t) if "가" <= c <= "힣")
+        #: Hangul syllables of the list's own writings and of letter names, and the sounds of all entries in one text.
+        self.syllables = frozenset(c for t in [*texts, *LETTER_NAMES, "플러스샵샤프"] for c in plain(t) if "가" <= c <= "힣")
+        self.all_sounds = "|".join(sorted(self.sounds))
         #: Hangul spellings of the last words of entries (as in "... Boot"), learned from the aliases.
         self.words: dict[str, str] = {}
         self._learn_words(entries, aliases)
@@ -169,6 +172,7 @@ class Dictionary:
                     self.exact[key] = i
                     self._fuzzy(key, i)
         self.cache.clear()
+        self.said.clear()
         self.spans.clear()
         self.texts.clear()
 
@@ -206,6 +210,15 @@ class Dictionary:
         else:
             self._keep("latin", key, i, LATIN_LEAST)
 
+    def _sayable(self, ch: str) -> bool:
+        """Whether a Hangul syllable's sound stands in some name of the list, or spells a letter or a last word."""
+        known = self.said.get(ch)
+        if known is None:
+            sound = phonetic(ch)
+            known = ch in self.syllables or sound in self.all_sounds or sound.endswith("ng") and sound[:-1] in self.all_sounds
+            self.said[ch] = known
+        return known
+
     def _near(self, kind: str, key: str) -> list[tuple[float, int, int]]:
         """(weight, -frequency, entry) of the entries one edit away."""
         found: set[str] = set()
@@ -231,18 +244,19 @@ class Dictionary:
         if key in self.cache:
             return self.cache[key]
         found: list[tuple[float, int, int]] = []
-        letters = sum("가" <= c <= "힣" for c in key)
-        hangul = letters > 0
-        # an edit is looked for only where all but two syllables are the list's own
-        known = not hangul or sum(c in self.syllables for c in key) >= letters - 2
+        hangul = any("가" <= c <= "힣" for c in key)
+        # no sound of the list has a syllable that none of its names has; an edit spoils two at most
+        foreign = sum(not self._sayable(c) for c in key if "가" <= c <= "힣")
+        if foreign > 2:
+            return None
         if hangul and len(key) >= HANGUL_LEAST:
-            for other in self._variants(key):
+            for other in self._variants(key) if foreign == 0 else ():
                 s = phonetic(other)
                 if (i := self.sounds.get(s)) is not None and len(s) >= 5:
                     found.append((0.05, -self.frequency[i], i))
-            if not found and known:
+            if not found:
                 found = self._near("hangul", key) + self._near("jamo", jamo(key))
-            if not found and known:
+            if not found:
                 for other in self._variants(key):
                     s = phonetic(other)
                     if len(s) >= SOUND_LEAST:
