@@ -46,7 +46,7 @@ def job_skill_stat(posting: DataFrame, posting_job: DataFrame, posting_skill: Da
     )
     each = weighted.join(skills, "posting_id").groupBy("job", "skill_id").agg(F.count("*").alias("posting_cnt"), F.sum("w").alias("part"))
     rank = F.row_number().over(Window.partitionBy("job").orderBy(F.desc("part"), F.desc("posting_cnt"), "skill_id"))
-    return each.join(total, "job").select("job", "skill_id", "posting_cnt", "job_total", half_up_ratio(F.col("part"), F.col("whole")).alias("ratio"), rank.alias("rank_no"))
+    return each.join(total, "job").select("job", "skill_id", "posting_cnt", "job_total", half_up_ratio(F.col("part"), F.col("whole")).alias("ratio"), rank.cast("bigint").alias("rank_no"))
 
 
 def top_of_latest(stat: DataFrame, skill: DataFrame, n: int = 20) -> DataFrame:
