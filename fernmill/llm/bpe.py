@@ -22,7 +22,7 @@ from fernmill.session import spread
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words up to so many bytes are contracted by one recursive query, so many bytes at once.
-WORD_BYTES, QUERY_BYTES = 400, 1_500_000
+WORD_BYTES, QUERY_BYTES = 400, 500_000
 #: Words kept by a task between batches; beyond it the store is emptied, results stay the same.
 WORDS_KEPT = 400_000
 
@@ -67,7 +67,7 @@ def merge_rows(ranks: dict[bytes, int]) -> tuple[list[int], list[int], list[int]
 class DuckBpe:
     """Encodes words with a merge table held in an in-memory DuckDB; one instance a process."""
 
-    def __init__(self, path: str = DEFAULT_VOCABULARY, memory: str = "400MB"):
+    def __init__(self, path: str = DEFAULT_VOCABULARY, memory: str = "300MB"):
         import duckdb
         import regex
 
@@ -195,7 +195,7 @@ def encode(df: DataFrame, *, key: str, text: str, vocabulary: str = DEFAULT_VOCA
             texts, at, n = b.column(1).to_pylist(), 0, b.num_rows
             while at < n:
                 end, size = at, 0
-                while end < n and size < 4_000_000:
+                while end < n and size < 1_000_000:
                     size += len(texts[end] or "") + 1
                     end += 1
                 ids = bpe.encode_batch(texts[at:end])
