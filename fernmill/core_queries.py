@@ -158,9 +158,10 @@ def alias_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def skill_sync_plan(spark: SparkSession, d: str) -> DataFrame:
-    """The plan from the active skills, the names in capitals where the code is even, to a seed of every third renamed."""
+    """The plan to a seed of the active skills, those of category ETC under new names."""
     stored = table(spark, d, "skill")
-    seed = stored.where("skill_id % 7 != 0").select(F.col("saramin_code").cast("int").alias("code"), F.when(F.col("skill_id") % 3 == 0, F.concat(F.lit("New "), F.col("name"))).otherwise(F.col("name")).alias("name"), "category")
+    name = F.when(F.col("category") == "ETC", F.concat(F.lit("New "), F.col("name"))).otherwise(F.col("name"))
+    seed = stored.where("is_active = 1").select(F.col("saramin_code").cast("int").alias("code"), name.alias("name"), "category")
     return dimensions.skill_plan(seed, stored).select("action", F.col("skill_id").cast("bigint").alias("skill_id"), "code", "name", "category")
 
 

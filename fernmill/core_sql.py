@@ -159,7 +159,7 @@ SQL: dict[str, str] = {
         UNION SELECT 'listed differently', alias FROM (SELECT DISTINCT * FROM l) GROUP BY alias HAVING count(*) > 1
         UNION SELECT 'name of another skill', l.alias FROM l JOIN n USING (alias) WHERE owner <> skill""",
     "skill_sync_plan": """
-        WITH s AS (SELECT CAST(saramin_code AS INTEGER) AS code, CASE WHEN skill_id % 3 = 0 THEN 'New ' || name ELSE name END AS name, category FROM skill WHERE skill_id % 7 <> 0),
+        WITH s AS (SELECT CAST(saramin_code AS INTEGER) AS code, CASE WHEN category = 'ETC' THEN 'New ' || name ELSE name END AS name, category FROM skill WHERE is_active = 1),
         d AS (SELECT CAST(skill_id AS BIGINT) AS skill_id, CAST(saramin_code AS INTEGER) AS code, name FROM skill),
         u AS (SELECT d.skill_id, s.* FROM s JOIN d USING (name)
               UNION ALL SELECT d.skill_id, s.* FROM s JOIN d ON d.code = s.code WHERE s.name NOT IN (SELECT name FROM d) AND d.name NOT IN (SELECT name FROM s))
