@@ -39,8 +39,8 @@ KOREAN_ENDINGS = re.compile(r"[가-힣](?:은|는|을|를|에서|으로|에게|
 URL = re.compile(r"(?:https?://|www\.)\S+|(?<![\w@])[\w-]+(?:\.[\w-]+)+/[^\s)\"'<>]*|(?<![\w.])/[\w-]+(?:/[\w.-]+)+|<a\s[^>]*>|</a>", re.I)
 TERM = re.compile(r"\x01|[^\W_]+(?:[.+'’,-]*[^\W_]+)*[+#]*")
 NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
-#: Where a list's segments end.
-CUT = re.compile(r"\n+|\s{2,}|\s*[,|·ㆍ•/>»›→★☆◆■□▶▷●○♥♡;、，｜~]+\s*|(?<=\S)\s+[-–—]\s+|\s+(?=#)|(?<=[.!?])\s+")
+#: Where a list's segments end; a '#' that begins a tag ends one without white space too, but for the '#' of a name as C#.
+CUT = re.compile(r"\n+|\s{2,}|\s*[,|·ㆍ•/>»›→★☆◆■□▶▷●○♥♡;、，｜~]+\s*|(?<=\S)\s+[-–—]\s+|\s+(?=#)|(?<![^\w#][CFJQcfjq])(?<!^[CFJQcfjq])(?=#\w)|(?<=[.!?])\s+")
 
 
 def _spread(hit: np.ndarray, back: int, n: int) -> np.ndarray:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from fernmill.llm.stuffing import is_stuffed, measure, periodic_terms, recurring_terms, stuffed_pages
+from fernmill.llm.stuffing import CUT, is_stuffed, measure, periodic_terms, recurring_terms, stuffed_pages
 
 RND = random.Random(4)
 CITIES = "가온 나래 다솜 라온 마루 바다 사랑 아라 자람 차오름 카온 타래 파란 하늘".split()
@@ -32,6 +32,19 @@ FINE = [
 ]
 
 
+VARIED = [f"{c}{t}" for c in CITIES[:4] for t in TAGS[:10]] + ["C#", "C++", "SRE", "Tool.js", "DBA"]
+GLUED = ["Tags " + "".join("#" + t for t in [*VARIED, *VARIED[:6]]), PROSE[0] + "\n" + "".join("#" + t for t in [*VARIED, *VARIED[40:], *VARIED[:3]])]
+
+
+@pytest.mark.parametrize("text", GLUED)
+def test_glued_tags(text):
+    assert is_stuffed(measure(text)), measure(text)
+
+
+def test_tags_end_segments():
+    assert [s for s in CUT.split("C#개발#서초#C##C++#F#개발, F#9#급구") if s] == ["C#개발", "#서초", "#C#", "#C++", "#F", "#개발", "F#9", "#급구"]
+
+
 @pytest.mark.parametrize("text", SPAM)
 def test_spam(text):
     assert is_stuffed(measure(text)), measure(text)
