@@ -1,8 +1,8 @@
 """Keyword-stuffed and link-list pages.
 
 A text becomes a row of terms. Three kinds of spans are marked in it: spans whose terms recur
-at short gaps, spans that repeat themselves at a fixed lag (positional autocorrelation in lag
-windows), and long runs of short segments that are nouns or links without a function word. A
+at short gaps, spans that repeat themselves at a fixed lag of any length (positional
+autocorrelation in lag windows), and long runs of short segments that are nouns or links without a function word. A
 page is spam if the marked spans make up most of its characters.
 """
 
@@ -19,8 +19,8 @@ from fernmill.session import spread
 
 #: Terms compared for recurrence lie at most so far apart; the share of recurring terms is taken in windows of this length.
 GAP, RECURRING = 24, 0.62
-#: Lags of the autocorrelation and the share of equal terms in a lag window.
-LAGS, PERIODIC = 24, 0.62
+#: The share of equal terms in a lag window of three copies; terms of a window of two copies at most, and their share.
+PERIODIC, BLOCK, COPIED = 0.62, 24, 0.85
 #: Segments in a row without function words that make a list; its share of repeated or link segments.
 LIST_RUN, LIST_WORDS, LIST_REPEATED = 14, 4, 0.08
 #: Terms of a window around a link and the share of links among them that makes the window a link list; fewer links in all are no list.
@@ -69,20 +69,62 @@ def recurring_terms(codes: np.ndarray, content: np.ndarray) -> np.ndarray:
     return _spread(hit, w - 1, n)
 
 
+def run_gaps(codes: np.ndarray, doublings: int) -> np.ndarray:
+    """At each lag, how many runs of 2 ** doublings terms stand again at that lag; exact, over the whole text."""
+    runs = codes
+    for k in range(doublings):
+        runs = np.unique(runs[: -(1 << k)] * (int(runs.max(initial=0)) + 1) + runs[1 << k :], return_inverse=True)[1]
+    n = len(runs)
+    count = np.zeros(len(codes), dtype=np.int64)
+    if n < 2:
+        return count
+    order = np.argsort(runs, kind="stable")
+    sizes = np.bincount(runs)
+    begins = np.cumsum(sizes) - sizes
+    # the gaps of a frequent run come from a transform, those of the others one by one
+    frequent = sizes * sizes > 16 * n
+    width = 1 << (2 * n - 1).bit_length()
+    for at, m in zip(begins[frequent], sizes[frequent]):
+        where = np.zeros(n)
+        where[order[at : at + m]] = 1
+        count[:n] += np.rint(np.fft.irfft(np.abs(np.fft.rfft(where, width)) ** 2, width)[:n]).astype(np.int64)
+    last = np.repeat(np.where(frequent, 0, begins + sizes), sizes)
+    at, d = np.arange(n), 1
+    while len(at := at[at + d < last[at]]):
+        count[:n] += np.bincount(order[at + d] - order[at], minlength=n)
+        d += 1
+    count[0] = 0
+    return count
+
+
 def periodic_terms(codes: np.ndarray) -> np.ndarray:
-    """Positions in windows that equal themselves a fixed lag before, for any lag up to LAGS."""
+    """Positions that equal others at a fixed lag, whatever the lag.
+
+    Windows of twice the lag with the share PERIODIC of equal terms are marked with what they
+    equal. So are windows of the lag, BLOCK terms at most, with the share COPIED, for which two
+    copies are enough. Such windows hold runs of equal terms, of 2 and of 4; lags at which too
+    few runs stand again are not looked at.
+    """
     n = len(codes)
     out = np.zeros(n, dtype=bool)
-    for lag in range(1, min(LAGS, n // 3) + 1):
-        w = max(8, 2 * lag)
-        if w + lag > n:
+    lags = np.arange(n)
+    wide, copied = np.maximum(8, 2 * lags), np.clip(lags, 8, BLOCK)
+    # with e of w terms equal there are at most w - e + 1 runs
+    e = np.ceil(PERIODIC * wide)
+    wide_lags = (wide + lags <= n) & (run_gaps(codes, 1) >= np.maximum(2 * e - wide - 1, 1))
+    e = np.ceil(COPIED * copied)
+    copied_lags = (lags >= 8) & (copied + lags <= n) & (run_gaps(codes, 2) >= np.maximum(e - 3 * (copied - e + 1), 1))
+    for lag in np.flatnonzero(wide_lags | copied_lags):
+        if out.all():
             break
         s = np.concatenate(([0], np.cumsum(codes[lag:] == codes[:-lag])))
-        share = s[w:] - s[:-w] >= PERIODIC * w
-        if share.any():
-            hit = np.zeros(n, dtype=bool)
-            hit[lag + w - 1 :] = share
-            out |= _spread(hit, lag + w - 1, n)
+        for look, w, least in ((wide_lags[lag], wide[lag], PERIODIC), (copied_lags[lag], copied[lag], COPIED)):
+            if look and (share := s[w:] - s[:-w] >= least * w).any():
+                hit = np.zeros(n, dtype=bool)
+                hit[lag + w - 1 :] = share
+                again = _spread(hit, w - 1, n)
+                out |= again
+                out[:-lag] |= again[lag:]
     return out
 
 

@@ -62,6 +62,38 @@ def test_spans():
     assert measure("")["terms"] == 0 and measure(" \n,|")["terms"] == 0
 
 
+@pytest.mark.parametrize("size", [10, 24, 30, 77, 400])
+def test_copied_block(size):
+    block, before = np.arange(100, 100 + size), np.arange(1000, 1009)
+    assert periodic_terms(np.concatenate([block, block])).all()
+    got = periodic_terms(np.concatenate([before, block, before + 50, block]))
+    assert size < 24 or got[9 : 9 + size].all() and got[-size:].all() and not got[:4].any()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lags_against_all_windows(seed):
+    rnd = np.random.default_rng(seed)
+    for _ in range(20):
+        n, lag = int(rnd.integers(1, 150)), int(rnd.integers(1, 70))
+        codes = rnd.integers(0, int(rnd.integers(2, 60)), n)
+        if n > lag:
+            codes[lag:] = np.where(rnd.random(n - lag) < rnd.choice([0.7, 0.9]), codes[:-lag], codes[lag:])
+        want = np.zeros(n, dtype=bool)
+        for k in range(1, n):
+            for w, share in ((max(8, 2 * k), 0.62), (min(k, 24), 0.85 if k >= 8 else 2)):
+                for i in range(n - k - w + 1):
+                    if (codes[i : i + w] == codes[i + k : i + k + w]).sum() >= share * w:
+                        want[i : i + w] = want[i + k : i + k + w] = True
+        assert (periodic_terms(codes) == want).all()
+
+
+def test_phrase_twice():
+    phrase = " ".join(f"{c}{t} 모집" if k % 9 == 0 else f"{c}{t}" for k, (c, t) in enumerate((c, t) for c in CITIES[:7] for t in TAGS[:5]))
+    assert is_stuffed(measure(phrase + " " + phrase)) and not is_stuffed(measure(phrase))
+    alike = [f"The {a} desk {v} the {b} for {k} clinics as a side task so that {c}." for k, (a, v, b, c) in enumerate([("fraud", "audits", "cold schema registry", "failures stay small"), ("mobile", "schedules", "oversized translation memory", "support can breathe")])]
+    assert not is_stuffed(measure("\n".join(alike)))
+
+
 def test_rows(spark):
     rows = [(i, t, "n") for i, t in enumerate([*SPAM, *FINE])] + [(90, None, None), (91, "", None), (0, SPAM[0], None), (92, SPAM[1] * 200, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, terms string")
