@@ -25,7 +25,7 @@ LEAST, ONE_IN, SEED = 20, 7, 5
 BLOCK = 2
 #: Items are held in every task; above so many characters the search stops with an error instead of a broadcast without bound.
 ITEM_CHARACTERS = 64_000_000
-#: An instruction is an opening of at least so many words that so many items share.
+#: An instruction is an opening of at least so many words that so many different texts share.
 SHARED_WORDS, SHARED_ITEMS = 6, 3
 
 INLINE = re.compile(r"</?(?:a|abbr|b|big|code|em|font|i|ins|kbd|mark|s|small|span|strong|sub|sup|tt|u)(?:\s[^<>]{0,300})?/?>", re.I)
@@ -60,9 +60,15 @@ def words_of(text: str) -> list[str]:
 
 
 def without_shared(items: list[tuple[int, list[str]]]) -> list[tuple[int, list[str]]]:
-    """The items' words after the opening that several items share."""
+    """The items' words after the opening that several different texts share.
+
+    A text counts once, however many items hold it or an opening of it.
+    """
+    texts = {" ".join(w): w for _, w in items}
+    # an opening of a text stands right before it or before a longer opening in this order
+    order = sorted(texts)
     count: dict[tuple[str, ...], int] = defaultdict(int)
-    for _, w in items:
+    for w in (texts[a] for a, b in zip(order, [*order[1:], ""]) if not b.startswith(a)):
         for k in range(SHARED_WORDS, len(w) + 1):
             count[tuple(w[:k])] += 1
     out = []

@@ -54,6 +54,19 @@ def test_shared_openings():
     assert table.search(" ".join(opening * 4)) == []
 
 
+def test_copies_share_no_opening():
+    w = [f"a{k}" for k in range(60)]
+    text = " ".join(w)
+    equal = WuManber([(i, text) for i in range(4)])
+    assert equal.search("x y " + text) == [0, 1, 2, 3]
+    openings = [(1, text), (2, " ".join(w[:50])), (3, " ".join(w[:40])), (4, text[: len(" ".join(w[:45])) - 1]), (5, text)]
+    assert WuManber(openings).search(text) == [1, 2, 3, 4, 5]
+    # the instruction of different texts is left out for their copies too
+    asked = "read the text and choose the best answer".split() * 3
+    items = [(i, asked + [f"b{i // 3}{k}" for k in range(30)]) for i in range(9)] + [(9, asked)]
+    assert [len(x) for _, x in without_shared(items)] == [30] * 9 + [0]
+
+
 def test_rows(spark):
     text = " ".join(VOCABULARY[:25])
     docs = spark.createDataFrame([(1, "x " * 50_000 + text), (2, None), (3, ""), (4, " ".join(VOCABULARY[:19])), (5, text.upper().replace(" ", ",\n")), (5, text)], "doc_id bigint, text string")
@@ -61,3 +74,11 @@ def test_rows(spark):
     got = sorted(tuple(r) for r in leaked_items(docs, items, doc_key="doc_id", doc_text="text", item_key="item_id", item_text="text").collect())
     assert got == [(1, 7), (1, 8), (5, 7), (5, 7), (5, 8), (5, 8)]
     assert leaked_items(docs.limit(0), items.limit(0), doc_key="doc_id", doc_text="text", item_key="item_id", item_text="text").count() == 0
+
+
+def test_rows_of_one_text(spark):
+    text = " ".join(VOCABULARY[:25])
+    docs = spark.createDataFrame([(1, "x " * 50 + text)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, text), (8, text), (11, text)], "item_id bigint, text string")
+    got = sorted(tuple(r) for r in leaked_items(docs, items, doc_key="doc_id", doc_text="text", item_key="item_id", item_text="text").collect())
+    assert got == [(1, 7), (1, 8), (1, 11)]
