@@ -21,8 +21,8 @@ from fernmill.session import spread
 GAP, RECURRING = 24, 0.62
 #: The share of equal terms in a lag window of three copies; terms of a window of two copies at most, and their share.
 PERIODIC, BLOCK, COPIED = 0.62, 24, 0.85
-#: Segments in a row without function words that make a list; its share of repeated or link segments.
-LIST_RUN, LIST_WORDS, LIST_REPEATED = 14, 4, 0.08
+#: Segments in a row without function words that make a list, and the most words of each.
+LIST_RUN, LIST_WORDS = 14, 4
 #: Terms of a window around a link and the share of links among them that makes the window a link list; fewer links in all are no list.
 LINK_WINDOW, LINKS, LEAST_LINKS = 12, 0.18, 6
 #: The share of a page's characters in marked spans, and the least number of terms, of a spam page.
@@ -154,7 +154,7 @@ def measure(text: str) -> dict[str, float]:
     lengths: list[int] = []
     terms: list[str] = []
     segment_of: list[int] = []
-    segments: list[tuple[bool, str]] = []
+    segments: list[bool] = []
     for seg in CUT.split(flat):
         found = TERM.findall(seg)
         if not found:
@@ -162,7 +162,7 @@ def measure(text: str) -> dict[str, float]:
         link = "\x01" in seg
         words = [w.lower() for w in found if w != "\x01"]
         plain = len(words) <= LIST_WORDS + 2 * link and not functional(words) and ": " not in seg.strip(" :") or (link and len(words) <= LIST_WORDS + 2)
-        segments.append((plain, "\x01" if link else " ".join(words)))
+        segments.append(plain)
         for w in found:
             terms.append("\x01" if w == "\x01" else NUMBER.sub("0", w.lower()))
             lengths.append(24 if w == "\x01" else len(w))
@@ -175,18 +175,15 @@ def measure(text: str) -> dict[str, float]:
     content = np.fromiter((t not in FUNCTION_WORDS for t in terms), dtype=bool, count=n)
     weight = np.asarray(lengths, dtype=np.float64)
     recurring, periodic = recurring_terms(codes, content), periodic_terms(codes)
-    # runs of list segments: long enough, with repeats or links as real skill lists don't have
+    # runs of list segments, different or not; the skill list of an opening is too small a part of it to count
     in_list = np.zeros(len(segments), dtype=bool)
     k = 0
     while k < len(segments):
         end = k
-        while end < len(segments) and segments[end][0]:
+        while end < len(segments) and segments[end]:
             end += 1
-        run = [s for _, s in segments[k:end]]
-        if len(run) >= LIST_RUN:
-            repeated = 1 - len({s for s in run if s != "\x01"}) / len(run)
-            if repeated >= LIST_REPEATED:
-                in_list[k:end] = True
+        if end - k >= LIST_RUN:
+            in_list[k:end] = True
         k = max(end, k + 1)
     listed = in_list[np.asarray(segment_of)] | linked_terms(np.fromiter((t == "\x01" for t in terms), dtype=bool, count=n))
     total = weight.sum()

@@ -41,6 +41,12 @@ def test_glued_tags(text):
     assert is_stuffed(measure(text)), measure(text)
 
 
+@pytest.mark.parametrize("text", [", ".join(VARIED), PROSE[0] + "\n" + "\n".join(VARIED)])
+def test_list_without_repeats(text):
+    assert is_stuffed(measure(text)), measure(text)
+    assert not is_stuffed(measure(" ".join(PROSE) + "\n" + ", ".join(VARIED[:16])))
+
+
 def test_tags_end_segments():
     assert [s for s in CUT.split("C#개발#서초#C##C++#F#개발, F#9#급구") if s] == ["C#개발", "#서초", "#C#", "#C++", "#F", "#개발", "F#9", "#급구"]
 
