@@ -62,7 +62,8 @@ def words_of(text: str) -> list[str]:
 def without_shared(items: list[tuple[int, list[str]]]) -> list[tuple[int, list[str]]]:
     """The items' words after the opening that several different texts share.
 
-    A text counts once, however many items hold it or an opening of it.
+    A text counts once, however many items hold it or an opening of it. The opening ends where
+    the texts that share it fall to less than half, if only a few words more are shared after that.
     """
     texts = {" ".join(w): w for _, w in items}
     # an opening of a text stands right before it or before a longer opening in this order
@@ -76,7 +77,11 @@ def without_shared(items: list[tuple[int, list[str]]]) -> list[tuple[int, list[s
         k = SHARED_WORDS
         while k <= len(w) and count[tuple(w[:k])] >= SHARED_ITEMS:
             k += 1
-        out.append((i, w[k - 1 :] if k > SHARED_WORDS else w))
+        end = k - 1
+        falls = [j for j in range(SHARED_WORDS, end) if 2 * count[tuple(w[: j + 1])] < count[tuple(w[:j])]]
+        while (near := [j for j in falls if 0 < end - j < SHARED_WORDS]):
+            end = near[0]
+        out.append((i, w[end:] if k > SHARED_WORDS else w))
     return out
 
 

@@ -67,6 +67,19 @@ def test_copies_share_no_opening():
     assert [len(x) for _, x in without_shared(items)] == [30] * 9 + [0]
 
 
+def test_opening_ends_where_texts_part():
+    asked = "read the text and choose the best answer".split()
+    body = lambda i, n: [f"b{i}x{k}" for k in range(n)]
+    items = [(i, asked + (["the", "night", "crew"] if i < 4 else []) + body(i, 20)) for i in range(12)]
+    assert [w[0] for _, w in without_shared(items)] == ["the"] * 4 + [f"b{i}x0" for i in range(4, 12)]
+    # a leak of 22 words from the start of a body
+    assert WuManber([(i, " ".join(w)) for i, w in items]).search(" ".join(items[1][1][8:11] + body(1, 18))) == [1]
+    # an instruction of its own after a shared beginning is left out whole
+    kinds = [[f"q{j}w{k}" for k in range(9)] for j in range(4)]
+    items = [(i, asked + kinds[i % 4] + body(i, 20)) for i in range(16)]
+    assert all(len(w) == 20 for _, w in without_shared(items))
+
+
 def test_rows(spark):
     text = " ".join(VOCABULARY[:25])
     docs = spark.createDataFrame([(1, "x " * 50_000 + text), (2, None), (3, ""), (4, " ".join(VOCABULARY[:19])), (5, text.upper().replace(" ", ",\n")), (5, text)], "doc_id bigint, text string")
