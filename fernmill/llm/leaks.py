@@ -28,9 +28,11 @@ ITEM_CHARACTERS = 64_000_000
 #: An instruction is an opening of at least so many words that so many different texts share.
 SHARED_WORDS, SHARED_ITEMS = 6, 3
 
-INLINE = re.compile(r"</?(?:a|abbr|b|big|code|em|font|i|ins|kbd|mark|s|small|span|strong|sub|sup|tt|u)(?:\s[^<>]{0,300})?/?>", re.I)
-TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]{0,300}>", re.S)
-LINK = re.compile(r"!?\[([^\[\]]{0,300})\]\([^()\s]{0,300}\)")
+#: What follows a tag's name: values of any length, and not too much else, so that text after a stray '<' isn't taken for a tag.
+_ATTRIBUTES = r"""(?:\s(?:[^<>"'=]{0,300}=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]++))*+[^<>]{0,300})?"""
+INLINE = re.compile(r"</?(?:a|abbr|b|big|code|em|font|i|ins|kbd|mark|s|small|span|strong|sub|sup|tt|u)" + _ATTRIBUTES + r"/?>", re.I)
+TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][\w:-]*+" + _ATTRIBUTES + r"/?>|</?[a-zA-Z][^<>]{0,300}>", re.S)
+LINK = re.compile(r"!?\[([^\[\]]*)\]\([^()\s]*\)")
 EMPHASIS = re.compile(r"(?<!\w)[*_~`]{1,3}(?=\w)|(?<=\w)[*~`]{1,3}|(?<=\w)_{1,3}(?!\w)")
 WORD = re.compile(r"[^\W_]+")
 _LATIN = str.maketrans({k: v for k, v in LOOKALIKES.items()})

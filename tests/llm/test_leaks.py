@@ -45,6 +45,18 @@ def test_words():
     assert words_of("") == []
 
 
+def test_long_markup():
+    url = "http://x.y/z?" + "&".join(f"k{i}=v{i}" for i in range(400))
+    for mark in (f'<a href="{url}" class=x>', f"<a href={url}>", f"<p style='{'a:b; ' * 400}'>", f'<img src="data:image/png;base64,{"A/b+" * 900}==" alt="">'):
+        assert words_of("one " + mark + "two three") == ["one", "two", "three"]
+    assert words_of(f"one [two]({url}) three ![{'four ' * 90}](u)") == ["one", "two", "three", *["four"] * 90]
+    # text after a stray sign stays
+    assert len(words_of("x <b " + "word " * 200 + "-> y")) == 203
+    # no quadratic time
+    for odd in ("<a " * 100_000, "<a href=" + "a=b" * 100_000, '<a x="' * 50_000, "[" * 200_000 + "](", "<a " + "b=c " * 100_000):
+        words_of(odd)
+
+
 def test_shared_openings():
     opening = "read the text and choose the best answer".split()
     items = [(i, opening + [f"a{i}{k}" for k in range(30)]) for i in range(3)] + [(9, ["z"] * 25)]
