@@ -113,8 +113,8 @@ def transducer() -> Transducer:
     return _one[0]
 
 
-#: Texts of these characters alone are in the consistent form; the pattern runs in the JVM.
-PLAIN = r"^[\n\r\x20-\x7e\xa1-\xac\xae-\xff가-힣ㄱ-ㅣㅥ-ㆎ‐-‧‰-⁞⁰-⃏℀-℥℧-℩ℬ-⿿、-㄰㆐-鿿]*$"
+#: Texts of these characters alone are in the consistent form; the pattern runs in the JVM, where '$' would match before a last line separator.
+PLAIN = r"^[\n\r\x20-\x7e\xa1-\xac\xae-\xff가-힣ㄱ-ㅣㅥ-ㆎ‐-‧‰-⁞⁰-⃏℀-℥℧-℩ℬ-⌨⌫-ⳮⳲ-⵾ⶀ-⷟⸀-⿿、-〩〰-゘゛-㄰㆐-鿿]*+(?![\s\S])"
 
 
 def normalise(df: DataFrame, *, text: str, out: str = "norm") -> DataFrame:

@@ -1,5 +1,7 @@
 """The consistent form of texts."""
 
+import unicodedata
+
 import pytest
 import regex
 from hypothesis import given, settings, strategies as st
@@ -44,3 +46,13 @@ def test_rows(spark):
     assert got == [("preferred", 2, 1), ("preferred", 2, 2), ("required", 1, 2), ("title", 7, 0), ("title", 7, 0)]
     assert inconsistent_texts(raw.limit(0), posting.limit(0)).count() == 0
     assert differing(spark.createDataFrame([("ｘ", "n")], "text string, other string"), text="text").first().norm == "x"
+
+
+def test_prefilter_passes_what_changes(spark):
+    texts = ["が", "パ゙", "a〈b〉", "〪〮", "⵿ⷠ", "ab\x85", "ab ", "ab ", "「가」 あ", "plain\n"]
+    want = {t: transducer().apply(t) for t in texts if transducer().apply(t) != t}
+    got = {r.text: r.norm for r in differing(spark.createDataFrame([(t,) for t in texts], "text string"), text="text").collect()}
+    assert got == want and {"が", "ab\x85", "ab ", "ab "} <= set(got)
+    for c in range(0x10000):
+        if regex.match(PLAIN, chr(c)):
+            assert transducer().apply(f"가{chr(c)}a") == f"가{chr(c)}a" and not unicodedata.combining(chr(c))
