@@ -4,7 +4,8 @@ A task splits its texts into words with the vocabulary's pattern and keeps each
 once. The words' bytes become token-position rows in DuckDB; a recursive query joins each pair
 of neighbours with the merge table and contracts, in every word, the leftmost pair of minimum
 rank, all its non-overlapping occurrences from the left at once, until no word has a pair left.
-An ordered aggregation turns the rows into the id list of each word.
+An ordered aggregation turns the rows into the id list of each word. Longer words go through the
+same query as overlapping windows, whose ids join at tokens they share: time is linear in length.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from fernmill.session import spread
 #: The vocabulary's splitting pattern; a fixed value of the public vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Words up to so many bytes are contracted by one recursive query, so many bytes at once.
-WORD_BYTES, QUERY_BYTES = 400, 500_000
+#: Longer words are encoded in windows of so many bytes that overlap by half; one recursive query takes words whose
+#: squared sizes, about the rows of its rounds, come to so many.
+WORD_BYTES, QUERY_ROWS = 32, 6_000_000
 #: Words kept by a task between batches; beyond it the store is emptied, results stay the same.
 WORDS_KEPT = 400_000
 
@@ -64,6 +66,25 @@ def merge_rows(ranks: dict[bytes, int]) -> tuple[list[int], list[int], list[int]
     return lft, rgt, made
 
 
+def windows(size: int, width: int) -> range:
+    """The starts of windows that cover ``size`` bytes; each overlaps the one before by half."""
+    half = width // 2
+    return range(0, max(size - half, 1), half)
+
+
+def portions(words: list[bytes], most: int) -> Iterator[list[bytes]]:
+    """The words in batches of about ``most`` rows."""
+    batch, size = [], 0
+    for w in words:
+        batch.append(w)
+        size += len(w) ** 2
+        if size >= most:
+            yield batch
+            batch, size = [], 0
+    if batch:
+        yield batch
+
+
 class DuckBpe:
     """Encodes words with a merge table held in an in-memory DuckDB; one instance a process."""
 
@@ -75,7 +96,7 @@ class DuckBpe:
         self.split = regex.compile(PATTERN).findall
         self.bytes = [ranks[bytes([b])] for b in range(256)]
         self.token = {v: k for k, v in ranks.items()}
-        # no disk: the work is bounded by QUERY_BYTES
+        # no disk: the work is bounded by QUERY_ROWS
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
         lft, rgt, made = merge_rows(ranks)
         merges = pa.table({"lft": pa.array(lft, pa.int32()), "rgt": pa.array(rgt, pa.int32()), "made": pa.array(made, pa.int32())})
@@ -113,35 +134,59 @@ class DuckBpe:
         self.db.unregister("start")
         return found.column("ids").to_pylist()
 
-    def _stepwise(self, word: bytes) -> list[int]:
-        """A very long word: the same contraction, but only the present rows are kept."""
-        self.db.register("start", self._rows([word]))
-        self.db.execute("CREATE OR REPLACE TEMP TABLE cur AS SELECT * FROM start")
-        self.db.unregister("start")
-        while True:
-            self.db.execute(f"CREATE OR REPLACE TEMP TABLE nxt AS {STEP.format(src='cur')}")
-            if not self.db.execute("SELECT count(*) FROM nxt").fetchall()[0][0]:
-                return self.db.execute("SELECT list(tok ORDER BY pos) FROM cur").fetchall()[0][0]
-            self.db.execute("CREATE OR REPLACE TEMP TABLE cur AS SELECT * FROM nxt")
+    def _long(self, raw: bytes, parts: dict[bytes, list[int]], width: int) -> list[int] | None:
+        """The ids of a long word from those of its overlapping windows; None if two of them share no token.
+
+        Neighbouring tokens that stand together in the encoding of a window stand together in any
+        encoding, and a row of such pairs is the encoding of its bytes. So the ids of one window up
+        to a token that it shares with the next, then those of the next, are the ids of both.
+        """
+        out: list[int] = []
+        begins: list[int] = []
+        for at in windows(len(raw), width):
+            ids = parts[raw[at : at + width]]
+            starts = [at]
+            for i in ids[:-1]:
+                starts.append(starts[-1] + len(self.token[i]))
+            if out:
+                where = {(s, i): k for k, (s, i) in enumerate(zip(starts, ids))}
+                n = len(out)
+                # the shared token nearest the overlap's middle: edges of a window are the least certain
+                shared = []
+                while n and begins[n - 1] >= at:
+                    n -= 1
+                    if (k := where.get((begins[n], out[n]))) is not None:
+                        shared.append((abs(begins[n] - at - width // 4), n, k))
+                if not shared:
+                    return None
+                _, n, k = min(shared)
+                del out[n:], begins[n:]
+                ids, starts = ids[k:], starts[k:]
+            out += ids
+            begins += starts
+        return out
 
     def learn(self, words: set[str]) -> None:
-        """Encode the words not known yet."""
+        """Encode the words not known yet: short ones as they are, longer ones by windows."""
         new = sorted(w for w in words if w not in self.known)
-        at = 0
-        while at < len(new):
-            size, end, batch = 0, at, []
-            while end < len(new) and (size == 0 or size < QUERY_BYTES):
-                raw = new[end].encode("utf-8", "replace")
-                if len(raw) > WORD_BYTES:
-                    self.known[new[end]] = self._stepwise(raw)
-                else:
-                    batch.append((new[end], raw))
-                    size += len(raw)
-                end += 1
-            if batch:
-                for (w, _), ids in zip(batch, self._recursive([r for _, r in batch])):
-                    self.known[w] = ids
-            at = end
+        raw = {w: w.encode("utf-8", "replace") for w in new}
+        self.known |= zip(new, map(self._encoded([raw[w] for w in new], WORD_BYTES).__getitem__, (raw[w] for w in new)))
+
+    def _encoded(self, words: list[bytes], width: int) -> dict[bytes, list[int]]:
+        """The ids of distinct words; windows that share no token are taken twice as wide."""
+        whole = sorted({w for w in words if len(w) <= width})
+        long = {w for w in words if len(w) > width}
+        pieces = sorted({w[at : at + width] for w in long for at in windows(len(w), width)} - set(whole))
+        done: dict[bytes, list[int]] = {}
+        for batch in portions(whole + pieces, QUERY_ROWS):
+            done |= zip(batch, self._recursive(batch))
+        wider = []
+        for w in long:
+            if (ids := self._long(w, done, width)) is None:
+                wider.append(w)
+            else:
+                done[w] = ids
+        return done | self._encoded(wider, 2 * width) if wider else done
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
         split = [self.split(t) if t else () for t in texts]

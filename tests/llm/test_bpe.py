@@ -1,6 +1,7 @@
 """Encoding against two other encoders of the same vocabulary, and back."""
 
 import os
+import random
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -45,6 +46,26 @@ def test_any_text(duck, reference, text):
     assert ids == reference(text) and duck.decode(ids) == text
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_long_words(duck, reference, seed):
+    rnd = random.Random(seed)
+    parts = [["a", "b"], list("abcdefghijklmnopqrstuvwxyz"), ["the", "ing", "er", "un", "Java"], list("가나개발자"), ["a" * 50, "b"], list("ABCdef")][seed % 6]
+    word = "".join(rnd.choice(parts) for _ in range(rnd.randint(30, 1500)))
+    for text in (word, word * 3, "=" * rnd.randint(60, 3000), " " * rnd.randint(60, 300) + word):
+        assert duck.encode_batch([text])[0] == reference(text)
+
+
+def test_windows_cover(duck):
+    for n in (1, 31, 32, 33, 48, 49, 64, 65, 1000):
+        seen = {i for at in bpe.windows(n, 32) for i in range(at, min(at + 32, n))}
+        assert seen == set(range(n))
+
+
+def test_no_shared_token_widens(duck, reference):
+    word = b"abcabcabc" * 40
+    assert duck._encoded([word], 4)[word] == reference(word.decode())
+
+
 def test_rows(spark, reference):
     df = spark.createDataFrame([(i, t, [1]) for i, t in enumerate(TEXTS)] + [(None, "x", None)], "doc_id bigint, text string, ids array<int>")
     got = {r.doc_id: r.ids for r in bpe.encode(df, key="doc_id", text="text").collect()}
