@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from fernmill.llm import leaks
 from fernmill.llm.leaks import WuManber, leaked_items, without_shared, words_of
 
 VOCABULARY = [f"w{i}" for i in range(60)]
@@ -101,6 +102,43 @@ def test_rows(spark):
     assert leaked_items(docs.limit(0), items.limit(0), doc_key="doc_id", doc_text="text", item_key="item_id", item_text="text").count() == 0
 
 
+def test_one_passage_under_different_questions():
+    passage = [f"p{k}" for k in range(60)]
+    items = [(i, passage + [f"q{i}x{k}" for k in range(8)]) for i in range(3)]
+    table = WuManber([(i, " ".join(w)) for i, w in items])
+    for i, w in items:
+        assert table.search("x y " + " ".join(w) + " z") == [i]
+    # what is left can't be told from the instruction with words replaced
+    assert [len(w) for _, w in without_shared([(i, passage[:30] + [f"q{i}"]) for i in range(3)])] == [1] * 3
+
+
+def test_odd_markup():
+    for mark in ('<a href="u v>', "<input type=text disabled checked>", "<!-- a <b> c -->", "<p " + "style='x' " * 900 + ">", "<p " + "n" * 5000 + ">", f"<{'x' * 999}>"):
+        assert words_of("one " + mark + "two") == ["one", "two"], mark[:20]
+    for odd in ("<!--" * 100_000, "<a " + "b c d e f " * 50_000, "<a" + " " * 100_000, "<a " + "x= " * 50_000):
+        words_of(odd)
+
+
+def test_many_items_in_sets(spark, monkeypatch):
+    rnd = random.Random(5)
+    asked = [["read", "the", "text", "and", "choose", "the", "best", f"answer{j}"] * (j + 1) for j in range(3)]
+    items = []
+    for i in range(60):
+        body = [rnd.choice(VOCABULARY) for _ in range(rnd.randint(0, 50))]
+        items.append((i, " ".join(asked[i % 4] + body if i % 4 < 3 else body)))
+    long = items[7][1]
+    items += [(100, long), (101, long[: len(long) * 2 // 3]), (102, long[:90]), (103, ""), (104, None)]
+    words = [(i, words_of(t)) for i, t in items if t]
+    got = leaks.own_words(spark.createDataFrame([x for x in items if x[1]], "i bigint, t string"))
+    assert sorted((r.i, r.own) for r in got.collect()) == sorted(without_shared(words))
+    docs = [(i, " ".join(["a", "b"] + t.split()[-rnd.randint(15, 40) :] + ["c"])) for i, t in items if t]
+    d, t = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    find = lambda: sorted(tuple(r) for r in leaked_items(d, t, doc_key="doc_id", doc_text="text", item_key="item_id", item_text="text").collect())
+    whole = find()
+    monkeypatch.setattr(leaks, "ITEM_CHARACTERS", 1500)
+    assert whole and find() == whole
+
+
 def test_rows_of_one_text(spark):
     text = " ".join(VOCABULARY[:25])
     docs = spark.createDataFrame([(1, "x " * 50 + text)], "doc_id bigint, text string")
