@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import os
 import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -60,19 +61,25 @@ def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, local
-    runs) a folder of this process is made and set as checkpoint folder.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and all executors
+    are threads of this process (tests, local runs) a folder of this process is made and set as
+    checkpoint folder; a cluster without the setting is an error.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if at:
-        return at.rstrip("/")
-    if not (at := spark.sparkContext.getCheckpointDir()):
-        at = os.path.join(tempfile.gettempdir(), f"fernmill-{os.getpid()}")
-        spark.sparkContext.setCheckpointDir(at)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is unset: the executors need a folder that they share")
+        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"fernmill-{os.getpid()}"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
+def state_dir(spark: SparkSession, label: str, source: str) -> str:
+    """The folder of an operator's state over one source, found again by later calls and later runs."""
+    return f"{shared_dir(spark)}/state/{label}-{hashlib.md5(source.encode()).hexdigest()[:16]}"
+
+
 _made: list[str] = []
 
 
@@ -101,6 +108,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows of a few narrow columns that a side to be broadcast may have.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if its counted ``rows`` are within the bound, else as it is: then the join shuffles."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut, executors may go."""
     path = scratch(df.sparkSession, label)

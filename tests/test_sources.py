@@ -92,6 +92,38 @@ def test_store(spark, tmp_path):
     assert t.version() == 2 and sorted(r.id for r in t.read().collect()) == [0, 1, 2, 10]
 
 
+def test_a_lost_writer_leaves_the_version_before(spark, tmp_path):
+    t = store.VersionedTable(spark, str(tmp_path / "t"))
+    t.commit(spark.range(3))
+    spark.range(9).write.parquet(str(tmp_path / "t/v2-lost"))  # lost before the pointer
+    (tmp_path / "t/draft-1").write_text("")  # lost within the pointer
+    assert t.version() == 1 and t.read().count() == 3
+    old = t.read()
+    assert t.commit(spark.range(4)) == 2
+    assert old.count() == 3 and t.read().count() == 4  # a reader keeps what it began with
+    with pytest.raises(store.Conflict):
+        t.commit(spark.range(5), after=1)
+    for n in (5, 6):
+        t.commit(spark.range(n))
+    assert t.read().count() == 6 and len(store.folders(spark, t.path)) == 2
+
+
+def test_store_upkeep(spark, tmp_path):
+    import os
+    import time
+
+    assert not store.mounted(spark, str(tmp_path / "none")) and not store.mounted(spark, str(tmp_path))
+    for name in ("a.tmp", "b.tmp", "c.json"):
+        (tmp_path / name).write_text("x")
+    os.utime(tmp_path / "a.tmp", (1, 1))
+    os.utime(tmp_path / "c.json", (1, 1))
+    assert store.mounted(spark, str(tmp_path))
+    assert store.sweep_temporary(spark, str(tmp_path), 3600, time.time()) == 1
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["b.tmp", "c.json"]
+    left = store.without_documents(spark.range(5).withColumnRenamed("id", "k"), spark.createDataFrame([(1,), (1,), (None,)], "k bigint"), "k")
+    assert sorted(r.k for r in left.collect()) == [0, 2, 3, 4]
+
+
 def test_documents(spark):
     df = spark.createDataFrame([(1, '{"tags":[{"code":1,"name":"a"}],"required":["x"],"other":2}'), (2, "{broken"), (3, None)], "id int, body string")
     rows = {r.id: r for r in store.from_json(df, "id").collect()}
