@@ -24,7 +24,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.skill_pairs(table(spark, d, "posting_skill")).select("skill_id_a", "skill_id_b")
+    return pairs.of_directory(spark, d).select("skill_id_a", "skill_id_b")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
