@@ -1,15 +1,18 @@
 """Variant spellings of organisation names, linked by metric-space partitioning.
 
-A typed name is read as a stem and a line of business; company forms, offices and departments
-fall away, Latin spellings and Hangul meet in one phonetic alphabet of syllables. Stems of one
-line of business form a metric space under an edit distance over syllables. Names are assigned
-to their nearest pivot, replicated to every cell that could hold a neighbour by the triangle
-inequality, and joined exactly within a radius inside each cell, in blocks of bounded size.
-Links and keys then make organisations: rows of one key are one, rows of different keys never.
+A typed name loses its company form, offices and departments; words with several usual
+spellings take one; what is left, the whole name, is written in one phonetic alphabet in which
+Latin spellings and Hangul meet, as a row of syllables. Names form a metric space under a
+Damerau-Levenshtein distance over syllables. Each goes to its nearest pivot's cell, and by the
+triangle inequality to every cell that could hold a neighbour of a name at home there. Inside a
+cell an exact radius join meets names by signatures that all within the radius share, and
+decides by the true distance. Links and keys then make organisations: rows of one key are one,
+rows of different keys never.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -23,27 +26,32 @@ from pyspark.sql import DataFrame, functions as F
 from fernmill.functions.lookalikes import LOOKALIKES
 from fernmill.session import materialise
 
-#: Lines of business: fixed words as written in Hangul, in Latin letters, and shortened.
-BUSINESS = {
-    "bio": "바이오랩 바이오 biolab bio",
-    "commerce": "커머스 commerce comm 컴",
-    "energy": "에너지 energy 에너 eng",
-    "finance": "파이낸셜 파이낸스 financial finance fin",
-    "games": "게임즈 게임 games game gm",
-    "health": "헬스케어 헬스 healthcare health hc",
-    "infotech": "인포텍 인포 infotech info",
-    "logistics": "로지스틱스 로지스 logistics logis",
-    "media": "미디어랩 미디어 medialab media",
-    "mobility": "모빌리티 모빌 mobility mobil",
-    "networks": "네트웍스 네트웍 네트워크스 네트워크 networks network net",
-    "robotics": "로보틱스 로봇 로보 robotics robot robo",
-    "soft": "소프트웨어 소프트 software soft sw",
-    "solutions": "솔루션즈 솔루션 solutions solution sol",
-    "systems": "시스템즈 시스템 systems system sys",
-    "technology": "테크놀로지 테크 technology tech",
-    "partners": "서치펌 searchfirm 파트너스 partners",
-}
-_WORDS = sorted(((w, k) for k, words in BUSINESS.items() for w in words.split()), key=lambda p: (-len(p[0]), p[0]))
+#: Words with several usual spellings, as written in Hangul, in Latin letters, and shortened; fixed values. They only
+#: bring such spellings to one form, the first; what is compared with what doesn't depend on them.
+BUSINESS = (
+    "바이오랩 바이오 biolab bio",
+    "커머스 commerce comm 컴",
+    "에너지 energy 에너 eng",
+    "파이낸셜 파이낸스 financial finance fin",
+    "게임즈 게임 games game gm",
+    "헬스케어 헬스 healthcare health hc",
+    "인포텍 인포 infotech info",
+    "로지스틱스 로지스 logistics logis",
+    "미디어랩 미디어 medialab media",
+    "모빌리티 모빌 mobility mobil",
+    "네트웍스 네트웍 네트워크스 네트워크 networks network net",
+    "로보틱스 로봇 로보 robotics robot robo",
+    "소프트웨어 소프트 software soft sw",
+    "솔루션즈 솔루션 solutions solution sol",
+    "시스템즈 시스템 systems system sys",
+    "테크놀로지 테크 technology tech",
+    "서치펌 searchfirm 파트너스 partners",
+)
+#: Every spelling of a word with its one form, the first Hangul one; longer spellings first.
+_WORDS = sorted(((w, words.split()[0]) for words in BUSINESS for w in words.split()), key=lambda p: (-len(p[0]), p[0]))
+_KINDS = dict(_WORDS)
+#: Latin words of so many letters are known with one letter wrong, too.
+LATIN_SLIP = 6
 FORMS = re.compile(r"\(\s*주\s*\)|주식회사|유한회사|\(\s*유\s*\)|\bco\s*\.?,?\s*ltd\b\.?|\b(?:inc|corp|ltd|llc|co|corporation|company|incorporated)\b\.?", re.I)
 #: Words for a part of an organisation, at a name's edge.
 PART = (
@@ -89,26 +97,53 @@ def _clean(name: str) -> str:
     return s
 
 
+def _word_of(end: str) -> tuple[str, str] | None:
+    """(word, its one form) of a listed word, or of a long Latin one with a letter wrong, missing, added or swapped."""
+    if end in _KINDS:
+        return end, _KINDS[end]
+    if len(end) >= LATIN_SLIP and end.isascii() and end.isalpha():
+        near = {k for w, k in _WORDS if w.isascii() and len(w) >= LATIN_SLIP and _one_letter(end, w)}
+        if len(near) == 1:
+            return end, near.pop()
+    return None
+
+
+def _one_letter(a: str, b: str) -> bool:
+    if abs(len(a) - len(b)) > 1:
+        return False
+    n = min(len(a), len(b))
+    k = next((i for i in range(n) if a[i] != b[i]), n)
+    if len(a) == len(b):
+        return a[k + 1 :] == b[k + 1 :] or a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :]
+    return a[k:] == b[k + 1 :] or a[k + 1 :] == b[k:]
+
+
 @lru_cache(maxsize=100_000)
 def read_name(name: str) -> tuple[str, str] | None:
-    """(business or '', stem) of a typed name; the stem has Hangul and Latin letters and digits only."""
+    """(rest, word) of a typed name in Hangul and Latin letters and digits.
+
+    ``word`` is the one form of a listed word that stands at the end, or at the start where
+    parts were reordered, or ''; the rest is all else. A name without a listed word, or with one
+    spelt beyond recognition, is all rest, and compared like any other.
+    """
     parts = [p for p in re.split(r"[^0-9a-z가-힣]+", _clean(name)) if p]
     if not parts:
         return None
-    # the business stands at the end, or at the start where parts were reordered
     whole = "".join(parts)
     for w, kind in _WORDS:
         if whole.endswith(w) and len(whole) > len(w):
-            return kind, whole[: -len(w)]
+            return whole[: -len(w)], kind
     for w, kind in _WORDS:
         joined = ""
         for k, p in enumerate(parts[:-1]):
             joined += p
             if joined == w:
-                return kind, "".join(parts[k + 1 :])
+                return "".join(parts[k + 1 :]), kind
             if len(joined) > len(w):
                 break
-    return "", whole
+    if len(parts) > 1 and (found := _word_of(parts[-1])):
+        return "".join(parts[:-1]), found[1]
+    return whole, ""
 
 
 #: Marks a Hangul syllable that begins with its vowel; Latin spellings don't tell.
@@ -231,138 +266,193 @@ def one_slip(x: str, y: str) -> bool:
 
 
 # -- metric-space partitioning ------------------------------------------------------------
-#: Names a cell is meant for and the most pivots of a line of business, by which pivots are held in each task.
-CELL, MOST_PIVOTS = 4000, 64
-#: The most home names and members that one task of the join compares.
-HOME_BLOCK, MEMBER_BLOCK = 2000, 6000
-LONGEST = 12
-
-
-def pivots_of(forms: DataFrame) -> dict[str, list[str]]:
-    """The pivots of each line of business: names at the least hashes, one for CELL names, at most MOST_PIVOTS."""
-    counts = forms.groupBy("business").agg(F.count("*").alias("n"))
-    width = float(1 << 64)
-    picked = (
-        forms.join(F.broadcast(counts), "business")  # one row a line of business
-        .withColumn("h", F.xxhash64("form"))
-        .where((F.col("h").cast("double") + width / 2) / width <= 4 * MOST_PIVOTS / F.greatest(F.col("n"), F.lit(4 * MOST_PIVOTS)))
-        .groupBy("business")
-        .agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "form"))), 1, MOST_PIVOTS).alias("p"), F.first("n").alias("n"))
-        .collect()
-    )
-    return {r["business"]: [x["form"] for x in r["p"][: max(1, -(-r["n"] // CELL))]] for r in picked}
+#: Names a cell is meant for, and the most pivots: they are held in each task. Cells of more names are as exact.
+CELL, MOST_PIVOTS = 4000, 256
+#: Names, those with the least hashes, among which pivots are picked.
+PIVOT_SAMPLE = 4096
+#: Names of more syllables are measured one by one.
+LONGEST = 32
+
+
+def _codes(forms: list[str], ids: dict[Syllable, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sounds, syllable numbers, sizes) of names, padded; the sounds by their character codes."""
+    rows = [syllables(f) for f in forms]
+    size = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+    width = int(size.max(initial=1))
+    sounds = np.full((len(rows), width, 3), -1, dtype=np.int32)
+    number = np.full((len(rows), width), -1, dtype=np.int64)
+    for i, r in enumerate(rows):
+        for j, x in enumerate(r):
+            sounds[i, j] = [ord(c) if c else 0 for c in x]
+            number[i, j] = ids.setdefault(x, len(ids))
+    return sounds, number, size
+
+
+def distances(forms: list[str], pivot: str) -> np.ndarray:
+    """``distance`` of each name to one, all names at a time."""
+    p, ids = syllables(pivot), {}
+    out = np.zeros(len(forms), dtype=np.int64)
+    long = [i for i, f in enumerate(forms) if len(syllables(f)) > LONGEST]
+    short = sorted(set(range(len(forms))) - set(long))
+    for i in long:
+        out[i] = distance(syllables(forms[i]), p)
+    if not short:
+        return out
+    (q, qn, _), (a, an, size) = _codes([pivot], ids), _codes([forms[i] for i in short], ids)
+    n, width, m = len(short), a.shape[1], len(p)
+    far = 2 * (width + m) + 1
+    d = np.full((n, width + 2, m + 2), far, dtype=np.int64)
+    d[:, 1:, 1] = np.arange(width + 1)
+    d[:, 1, 1:] = np.arange(m + 1)
+    last, every = np.zeros((n, m + 1), dtype=np.int64), np.arange(n)
+    for i in range(1, width + 1):
+        at = np.zeros(n, dtype=np.int64)
+        for j in range(1, m + 1):
+            cost = np.minimum((a[:, i - 1] != q[0, j - 1]).sum(axis=1), 2)
+            k = last[:, j]
+            swap = d[every, k, at] + (i - k - 1) + 1 + (j - at - 1)
+            d[:, i + 1, j + 1] = np.minimum(np.minimum(d[:, i, j] + cost, swap), np.minimum(d[:, i + 1, j], d[:, i, j + 1]) + 1)
+            at = np.where(cost == 0, j, at)
+        last[:, 1:] = np.where(an[:, i - 1, None] == qn[0][None, :m], i, last[:, 1:])
+    out[short] = d[every, size + 1, m + 1]
+    return out
+
+
+def pivots_of(forms: DataFrame) -> list[str]:
+    """One pivot for CELL names, MOST_PIVOTS at most: names of a sample, each the farthest from those before."""
+    n = forms.count()
+    share = min(1.0, 2 * PIVOT_SAMPLE / max(n, 1))
+    h = F.xxhash64("form")
+    sample = [r[0] for r in forms.where(F.pmod(h, F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).orderBy(h, "form").limit(PIVOT_SAMPLE).select("form").collect()]
+    if not sample:
+        return []
+    picked = [sample[0]]
+    near = distances(sample, picked[0])
+    while len(picked) < min(MOST_PIVOTS, -(-n // CELL)) and near.max() > 0:
+        picked.append(sample[int(near.argmax())])
+        near = np.minimum(near, distances(sample, picked[-1]))
+    return picked
+
+
+#: What a signature is of.
+SAME, WHOLE, SHORT = 0, 1, 2
+#: Signatures are polynomial hashes of rows of syllables, modulo a prime.
+_PRIME, _BASE = (1 << 61) - 1, 911_382_323_344_331_771
+
+
+@lru_cache(maxsize=200_000)
+def _code(s: Syllable) -> int:
+    return int.from_bytes(hashlib.blake2b("|".join(s).encode(), digest_size=8).digest(), "big") % _PRIME
+
 
+def signatures(form: str) -> list[tuple[int, int]]:
+    """(signature, role) by which all names within RADIUS meet, in time linear in the name's length.
 
-def assign(forms: DataFrame, pivots: dict[str, list[str]]) -> DataFrame:
-    """(business, form, spellings, cell, home): the nearest pivot's cell, and every cell within reach of it."""
+    Role SAME: the name with one sound left open, or with two neighbours in a fixed order; names
+    that share one differ in that sound or are swapped. Role WHOLE, the name, meets role SHORT,
+    a name with one syllable left out. So hardly any meet that aren't within the radius.
+    """
+    row = syllables(form)
+    n = len(row)
+    code = [_code(x) for x in row]
+    power, before, after = [1] * (n + 1), [0] * (n + 1), [0] * (n + 2)
+    for i in range(n):
+        power[i + 1] = power[i] * _BASE % _PRIME
+        before[i + 1] = (before[i] + power[i] * code[i]) % _PRIME
+    for i in range(n - 1, -1, -1):
+        after[i] = (code[i] + after[i + 1] * _BASE) % _PRIME
+    out = {(before[n], WHOLE)}
+    for i, (x, y, z) in enumerate(row):
+        rest = power[i + 1] * after[i + 1]
+        for part in (("?", y, z), (x, "?", z), (x, y, "?")):
+            out.add(((before[i] + power[i] * _code(part) + rest) % _PRIME, SAME))
+        out.add(((before[i] + power[i] * after[i + 1]) % _PRIME, SHORT))
+        if i + 1 < n and code[i] != code[i + 1]:
+            low, high = sorted(code[i : i + 2])
+            out.add(((before[i] + power[i] * low + power[i + 1] * high + power[i + 2 if i + 2 <= n else n] * after[i + 2] + 1) % _PRIME, SAME))
+    return list(out)
+
+
+def within(a: str, b: str) -> bool:
+    """Whether two names are within RADIUS: their true distance, measured where they differ.
+
+    Equal syllables at both ends leave the distance as it is, and what a distance of one leaves
+    between them is two syllables at most.
+    """
+    x, y = syllables(a), syllables(b)
+    n = min(len(x), len(y))
+    k = 0
+    while k < n and x[k] == y[k]:
+        k += 1
+    e = 0
+    while e < n - k and x[len(x) - 1 - e] == y[len(y) - 1 - e]:
+        e += 1
+    x, y = x[k : len(x) - e], y[k : len(y) - e]
+    return max(len(x), len(y)) <= 2 * RADIUS and distance(x, y) <= RADIUS
+
+
+def assign(forms: DataFrame, pivots: list[str]) -> DataFrame:
+    """(form, cell, home): the nearest pivot's cell, and every cell within reach of it."""
     reach = 2 * RADIUS
-    schema = "business string, form string, spellings array<string>, cell int, home boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kind, form = b.column(0).to_pylist(), b.column(1).to_pylist()
-            rows, cells, homes = [], [], []
-            for k, (business, f) in enumerate(zip(kind, form)):
-                ps = pivots.get(business) or [""]
-                d = [distance(syllables(f), syllables(p)) for p in ps] if len(ps) > 1 else [0]
-                least = min(d)
-                home = d.index(least)
-                for c, x in enumerate(d):
-                    if x <= least + reach:
-                        rows.append(k), cells.append(c), homes.append(c == home)
-            t = b.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(cells, pa.int32()), pa.array(homes, pa.bool_())], names=["business", "form", "spellings", "cell", "home"])
-
-    return forms.select("business", "form", "spellings").mapInArrow(run, schema)
-
-
-def _codes(forms: list[str], ids: dict[Syllable, int], pad: int) -> tuple[np.ndarray, np.ndarray]:
-    out = np.full((len(forms), LONGEST), pad, dtype=np.int32)
-    size = np.zeros(len(forms), dtype=np.int32)
-    for i, f in enumerate(forms):
-        s = syllables(f)
-        size[i] = len(s)
-        for j, x in enumerate(s[:LONGEST]):
-            out[i, j] = ids.setdefault(x, len(ids))
-    return out, size
-
-
-def near_pairs(homes: list[str], members: list[str]) -> list[tuple[int, int]]:
-    """Pairs (home, member) within RADIUS, by the true distance after an exact bound.
-
-    An edit of distance one touches a changed syllable, a gap or two swapped neighbours, so
-    equal syllables at the start and at the end leave out two at most.
-    """
-    ids: dict[Syllable, int] = {}
-    a, na = _codes(homes, ids, -1)
-    b, nb = _codes(members, ids, -2)
-    ra = np.stack([np.roll(r[::-1], -(LONGEST - min(n, LONGEST))) for r, n in zip(a, na)]) if len(homes) else a
-    rb = np.stack([np.roll(r[::-1], -(LONGEST - min(n, LONGEST))) for r, n in zip(b, nb)]) if len(members) else b
-    out = []
-    step = max(1, 2_000_000 // max(1, len(members)))
-    for at in range(0, len(homes), step):
-        x, rx, nx = a[at : at + step], ra[at : at + step], na[at : at + step]
-        total = np.zeros((len(x), len(members)), dtype=np.int8)
-        for p, q in ((x, b), (rx, rb)):
-            run = None
-            for k in range(LONGEST):
-                eq = p[:, k][:, None] == q[:, k][None, :]
-                run = eq if run is None else run & eq
-                if not run.any():
-                    break
-                total += run
-        longest = np.maximum(nx[:, None], nb[None, :])
-        short = np.abs(nx[:, None] - nb[None, :]) <= 1
-        # names longer than LONGEST are compared whole by the distance itself
-        i, j = np.nonzero(short & ((total >= longest - 2) | (longest > LONGEST)))
-        for u, v in zip(i.tolist(), j.tolist()):
-            f, g = homes[at + u], members[v]
-            if f < g and distance(syllables(f), syllables(g)) <= RADIUS:
-                out.append((at + u, v))
-            elif f > g and distance(syllables(g), syllables(f)) <= RADIUS:
-                out.append((at + u, v))
-    return out
+            d = np.stack([distances(b.column(0).to_pylist(), p) for p in pivots], axis=1)
+            row, cell = np.nonzero(d <= d.min(axis=1, keepdims=True) + reach)
+            home = cell == d.argmin(axis=1)[row]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(home)], names=["form", "cell", "home"])
+
+    return forms.select("form").mapInArrow(run, "form string, cell int, home boolean")
 
 
 def radius_join(forms: DataFrame) -> DataFrame:
-    """(business, a, b): forms of one business within RADIUS whose spellings are one slip apart."""
-    placed = materialise(assign(forms, pivots_of(forms)), "name-cells")
-    sizes = placed.groupBy("business", "cell").agg(
-        F.ceil(F.sum(F.col("home").cast("int")) / HOME_BLOCK).cast("int").alias("nh"), F.ceil(F.count("*") / MEMBER_BLOCK).cast("int").alias("nm")
-    )
-    # at most MOST_PIVOTS rows a line of business
-    sized = placed.join(F.broadcast(sizes), ["business", "cell"]).where("nh > 0")
-    own = F.xxhash64("form")
-    block = ["business", "cell", "hb", "mb"]
-    homes = sized.where("home").withColumn("hb", F.pmod(own, "nh").cast("int")).withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)))
-    members = sized.withColumn("mb", F.pmod(own, "nm").cast("int")).withColumn("hb", F.explode(F.sequence(F.lit(0), F.col("nh") - 1)))
-    cols = [*block, "form", "spellings"]
-
-    def compare(both: pa.Table) -> pa.Table:
-        side = both.column("side").to_numpy()
-        left, right = both.filter(pa.array(side == 0)), both.filter(pa.array(side == 1))
-        f, g = left.column("form").to_pylist(), right.column("form").to_pylist()
-        kind = both.column("business")[0].as_py()
-        found = near_pairs(f, g) if f and g else []
-        sf, sg = left.column("spellings"), right.column("spellings")
-        pairs = set()
-        for i, j in found:
-            if any(one_slip(x, y) for x in sf[i].as_py() for y in sg[j].as_py()):
-                pairs.add((min(f[i], g[j]), max(f[i], g[j])))
-        rows = sorted(pairs)
-        return pa.table({"business": pa.array([kind] * len(rows), pa.string()), "a": pa.array([r[0] for r in rows], pa.string()), "b": pa.array([r[1] for r in rows], pa.string())})
+    """(a, b): names within RADIUS of each other whose spellings are one slip apart, a < b.
+
+    ``forms`` has distinct names (form, spellings). Names meet inside the cells, by cell and
+    signature; a signature's names differ in one sound, or by one syllable that one has more, so
+    they are as few as there are sounds and syllables.
+    """
+    pivots = pivots_of(forms)
+    if not pivots:
+        return forms.select(F.col("form").alias("a"), F.col("form").alias("b")).limit(0)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = [signatures(f) for f in b.column(0).to_pylist()]
+            row = np.repeat(np.arange(b.num_rows), [len(x) for x in of])
+            sig = pa.array([s for x in of for s, _ in x], pa.int64())
+            role = pa.array([r for x in of for _, r in x], pa.int8())
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(row)) for c in b.columns], sig, role], names=[*b.schema.names, "sig", "role"])
+
+    placed = assign(forms, pivots).mapInArrow(sign, "form string, cell int, home boolean, sig bigint, role tinyint")
+    # role SAME meets itself; a WHOLE, one at most, meets each SHORT
+    same, at = F.col("role") == SAME, F.struct("form", "home")
+    met = placed.groupBy("cell", same.alias("same"), "sig").agg(F.collect_list(F.when(F.col("role") != WHOLE, at)).alias("at"), F.max(F.when(F.col("role") == WHOLE, at)).alias("whole"))
+    one = met.where(F.col("same") & (F.size("at") > 1) | F.col("whole").isNotNull()).select("at", F.explode(F.when(F.col("same"), F.col("at")).otherwise(F.array("whole"))).alias("x"))
+    two = one.select("x", F.explode("at").alias("y")).where((F.col("x.form") != F.col("y.form")) & (F.col("x.home") | F.col("y.home")))
+    pairs = two.select(F.least("x.form", "y.form").alias("a"), F.greatest("x.form", "y.form").alias("b")).distinct()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [within(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    def slips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [any(one_slip(x, y) for x in p for y in q) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    spelt = lambda c, n: forms.select(F.col("form").alias(c), F.col("spellings").alias(n))
+    linked = pairs.mapInArrow(near, "a string, b string").join(spelt("a", "p"), "a").join(spelt("b", "q"), "b").select("a", "b", "p", "q").mapInArrow(slips, "a string, b string")
     # a Latin and a Hangul spelling of equal letters: an equi-join, with a row for each way to spell a name
     letters = F.replace("form", F.lit(SILENT), F.lit("")).alias("letters")
-    one, two = (forms.select("business", letters, F.col("form").alias(c)) for c in ("a", "b"))
-    equal = one.join(two, ["business", "letters"]).where("a < b").select("business", "a", "b")
-    both = homes.select(*cols, F.lit(0).alias("side")).unionByName(members.select(*cols, F.lit(1).alias("side")))
-    return both.groupBy(*block).applyInArrow(compare, "business string, a string, b string").unionByName(equal).distinct()
+    left, right = (forms.select(letters, F.col("form").alias(c)) for c in ("a", "b"))
+    return linked.unionByName(left.join(right, "letters").where("a < b").select("a", "b")).distinct()
 
 
 # -- organisations ------------------------------------------------------------------------
 def read_rows(df: DataFrame, *, row: str, key: str, name: str, group: str) -> DataFrame:
-    """(row, key, business, form, spelling, circle) of each row, as read from its typed values."""
+    """(row, key, form, spelling, circle) of each row, as read from its typed values: the whole name, its spelling, its group."""
     kind = df.schema[row].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,42 +463,42 @@ def read_rows(df: DataFrame, *, row: str, key: str, name: str, group: str) -> Da
             circle = [skeleton(re.sub(r"그룹|그릅|계열|group|[^0-9a-z가-힣]", "", g)) or None if g else None for g in groups]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0), pa.array(keys, pa.string()), pa.array([r and r[0] for r in read], pa.string()), pa.array([r and skeleton(r[1]) for r in read], pa.string()),
-                    pa.array([r and spelling(r[1]) for r in read], pa.string()), pa.array(circle, pa.string()),
+                    b.column(0), pa.array(keys, pa.string()), pa.array([r and skeleton(r[0]) + skeleton(r[1]) for r in read], pa.string()),
+                    pa.array([r and spelling(r[0]) + spelling(r[1]) for r in read], pa.string()), pa.array(circle, pa.string()),
                 ],
-                names=["row", "key", "business", "form", "spelling", "circle"],
+                names=["row", "key", "form", "spelling", "circle"],
             )
 
     cols = [F.col(row).alias("row"), *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate((key, name, group))]]
-    return df.where(F.col(row).isNotNull()).select(*cols).mapInArrow(run, f"row {kind}, key string, business string, form string, spelling string, circle string")
+    return df.where(F.col(row).isNotNull()).select(*cols).mapInArrow(run, f"row {kind}, key string, form string, spelling string, circle string")
 
 
 def spread_labels(seeds: DataFrame, links: DataFrame) -> DataFrame:
-    """(business, form, label) of linked forms: the nearest key, or the least form of a component without one.
+    """(form, label) of linked forms: the nearest key, or the least form of a component without one.
 
     Labels travel along links until nothing changes; every round is written to the shared folder.
     """
-    ends = links.select("business", F.col("a").alias("form"), F.col("b").alias("other")).union(links.select("business", F.col("b"), F.col("a")))
+    ends = links.select(F.col("a").alias("form"), F.col("b").alias("other")).union(links.select("b", "a"))
     ends = materialise(ends, "name-links")
-    own = F.struct(F.lit(1).alias("rank"), F.lit(0).alias("far"), F.concat(F.lit("f:"), F.col("business"), F.lit("|"), F.col("form")).alias("label"))
+    own = F.struct(F.lit(1).alias("rank"), F.lit(0).alias("far"), F.concat(F.lit("f:"), F.col("form")).alias("label"))
     keyed = F.struct(F.lit(0).alias("rank"), F.lit(0).alias("far"), F.concat(F.lit("k:"), F.col("key")).alias("label"))
     state = materialise(
-        ends.select("business", "form").distinct().join(seeds, ["business", "form"], "left").select("business", "form", F.when(F.col("key").isNotNull(), keyed).otherwise(own).alias("at"), F.col("key").isNotNull().alias("fixed")),
+        ends.select("form").distinct().join(seeds, "form", "left").select("form", F.when(F.col("key").isNotNull(), keyed).otherwise(own).alias("at"), F.col("key").isNotNull().alias("fixed")),
         "name-labels",
     )
     while True:
         step = F.struct(F.col("at.rank").alias("rank"), (F.col("at.far") + 1 - F.col("at.rank")).alias("far"), F.col("at.label").alias("label"))
-        heard = ends.join(state.select("business", F.col("form").alias("other"), step.alias("said")), ["business", "other"]).groupBy("business", "form").agg(F.min("said").alias("said"))
+        heard = ends.join(state.select(F.col("form").alias("other"), step.alias("said")), "other").groupBy("form").agg(F.min("said").alias("said"))
         after = materialise(
-            state.join(heard, ["business", "form"], "left").select(
-                "business", "form", F.when(F.col("fixed") | F.col("said").isNull() | (F.col("at") <= F.col("said")), F.col("at")).otherwise(F.col("said")).alias("at"), "fixed", F.col("at").alias("was")
+            state.join(heard, "form", "left").select(
+                "form", F.when(F.col("fixed") | F.col("said").isNull() | (F.col("at") <= F.col("said")), F.col("at")).otherwise(F.col("said")).alias("at"), "fixed", F.col("at").alias("was")
             ),
             "name-labels",
         )
         changed = after.where("at != was").limit(1).count()
         state = after.drop("was")
         if not changed:
-            return state.select("business", "form", F.col("at.label").alias("label"))
+            return state.select("form", F.col("at.label").alias("label"))
 
 
 def organisations(df: DataFrame, *, row: str, key: str, name: str, group: str) -> DataFrame:
@@ -418,26 +508,29 @@ def organisations(df: DataFrame, *, row: str, key: str, name: str, group: str) -
     without a key belong to the key whose names are nearest, one slip at a time; a name that
     stands under several keys is decided by its group, or else stays by itself. Rows with neither
     a key nor a readable name are left out; repeated rows and ties fall into the same class.
+
+    A name or group is decided once, whatever the number of its rows and keys; rows then meet
+    one decision each, in joins whose hot keys can be split.
     """
     rows = materialise(read_rows(df, row=row, key=key, name=name, group=group), "name-rows")
     named = rows.where("form is not null and form != ''")
-    forms = materialise(named.groupBy("business", "form").agg(F.collect_set("spelling").alias("spellings")), "name-forms")
-    held = materialise(named.where("key is not null").groupBy("business", "form", "key").agg(F.collect_set("circle").alias("circles")), "name-keys")
-    one = held.groupBy("business", "form").agg(F.min("key").alias("key"), F.max("key").alias("most"))
-    single = one.where("key = most").select("business", "form", "key")
-    several = one.where("key != most").select("business", "form")
+    forms = materialise(named.groupBy("form").agg(F.collect_set("spelling").alias("spellings")), "name-forms")
+    held = materialise(named.where("key is not null").select("form", "circle", "key").distinct(), "name-keys")
+    least = [F.min("key").alias("key"), F.max("key").alias("most")]
+    one = held.groupBy("form").agg(*least)
+    single = one.where("key = most").select("form", "key")
+    several = one.where("key != most").select("form")
     labels = spread_labels(single, radius_join(forms))
-    free = named.where("key is null").select("row", "business", "form", "circle")
-    by_group = (
-        free.join(several, ["business", "form"]).join(held, ["business", "form"]).where(F.array_contains("circles", F.col("circle")))
-        .groupBy("row").agg(F.min("key").alias("key"), F.max("key").alias("most")).where("key = most").select("row", F.concat(F.lit("k:"), F.col("key")).alias("hinted"))
-    )
-    alone = F.concat(F.lit("f:"), F.col("business"), F.lit("|"), F.col("form"))
+    hinted = held.where("circle is not null").join(several, "form", "left_semi").groupBy("form", "circle").agg(*least).where("key = most")
+    keyed = lambda c: F.concat(F.lit("k:"), F.col(c))
+    decided = forms.select("form").join(single, "form", "left").join(labels, "form", "left").select("form", F.coalesce(keyed("key"), "label").alias("found"))
     judged = (
-        free.join(single, ["business", "form"], "left").join(labels, ["business", "form"], "left").join(by_group, "row", "left")
-        .select("row", F.coalesce(F.concat(F.lit("k:"), F.col("key")), "hinted", "label", alone).alias("organisation"))
+        named.where("key is null").select("row", "form", "circle")
+        .join(decided, "form", "left").join(hinted.select("form", "circle", keyed("key").alias("hint")), ["form", "circle"], "left")
+        # a name under one key has that key's label; the hint is of names under several, whose label is of no key
+        .select("row", F.coalesce(F.when(F.col("found").startswith("k:") & F.col("hint").isNull(), F.col("found")), "hint", "found", F.concat(F.lit("f:"), F.col("form"))).alias("organisation"))
     )
-    return rows.where("key is not null").select("row", F.concat(F.lit("k:"), F.col("key")).alias("organisation")).unionByName(judged)
+    return rows.where("key is not null").select("row", keyed("key").alias("organisation")).unionByName(judged)
 
 
 #: Rows of one organisation that a task pairs with all others of it.

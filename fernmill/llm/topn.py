@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from fernmill.session import materialise
+
 
 def _starts(group: pa.Array) -> np.ndarray:
     """Indices where a new group begins in a sorted array; the first row always counts."""
@@ -119,11 +121,14 @@ def latest_stats(stat: DataFrame) -> DataFrame:
 
 
 def top_skills(stat: DataFrame, n: int = 10) -> DataFrame:
-    """Per job the first ``n`` of its latest rows by ratio, posting count, date and skill."""
+    """Per job the first ``n`` of its latest rows by ratio, posting count, date and skill.
+
+    The latest rows are written once: the sort's ranges come from a sample of its input.
+    """
     order = [
         F.col("ratio").desc(),
         F.col("posting_cnt").desc_nulls_last(),
         F.col("calc_date").desc_nulls_last(),
         F.col("skill_id").asc_nulls_last(),
     ]
-    return top_n(latest_stats(stat), group="job_id", order=order, n=n)
+    return top_n(materialise(latest_stats(stat), "latest-stats"), group="job_id", order=order, n=n)

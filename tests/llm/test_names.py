@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from fernmill.llm import names
-from fernmill.llm.names import distance, key_of, near_pairs, one_slip, read_name, skeleton, spelling, syllables
+from fernmill.llm.names import distance, distances, key_of, one_slip, read_name, signatures, skeleton, spelling, syllables, within
 
 
 @pytest.mark.parametrize(
@@ -31,8 +31,21 @@ def test_keys(raw, want):
     ["(주)다나새솔네트웍스", "㈜ 다나새솔 네트웍", "주식회사 다나새솔네트웍스_본사", "네트웍스·다나새솔", "네트웍스(다나새솔)", "채용담당 - 다나새솔네트웍스 주식회사", "다나새솔네트웍스 R&D센터", "( 주 )다나새솔 Networks", "다 나 새 솔 네 트 웍 스", "다나새솔네트웍스(주) 인사팀", "（주）다나새솔네트웍스 [개발본부]"],
 )
 def test_reading(name):
-    kind, stem = read_name(name)
-    assert (kind, skeleton(stem)) == ("networks", skeleton("다나새솔"))
+    stem, word = read_name(name)
+    assert (word, skeleton(stem)) == ("네트웍스", skeleton("다나새솔"))
+
+
+@pytest.mark.parametrize(
+    ("name", "want"),
+    [("다나새솔 Netwroks", ("다나새솔", "네트웍스")), ("다나새솔네트윽스", ("다나새솔네트윽스", "")), ("새솔건설(주)", ("새솔건설", "")), ("한빛제약", ("한빛제약", "")), ("네트웍스", ("네트웍스", ""))],
+)
+def test_words_are_no_condition(name, want):
+    assert read_name(name) == want
+
+
+def test_words_stay_apart():
+    forms = sorted({skeleton(w.split()[0]) for w in names.BUSINESS})
+    assert all(distance(syllables(a), syllables(b)) > names.RADIUS for a, b in itertools.combinations(forms, 2))
 
 
 def test_scripts_meet():
@@ -51,11 +64,31 @@ def test_metric(a, b, c):
     assert distance(a, c) <= distance(a, b) + distance(b, c)
 
 
-def test_near_pairs_against_brute_force():
-    rnd = random.Random(3)
-    stems = sorted({skeleton("".join(rnd.choice("가나다라곤덜밀벤솔") for _ in range(rnd.randint(1, 15 if k % 9 == 0 else 5)))) for k in range(160)})
-    want = {(i, j) for i, j in itertools.permutations(range(len(stems)), 2) if distance(syllables(stems[i]), syllables(stems[j])) <= 1}
-    assert set(near_pairs(stems, stems)) == want
+def some_forms(rnd, n, long=15):
+    return sorted({skeleton("".join(rnd.choice("가나다라곤덜밀벤솔") for _ in range(rnd.randint(1, long if k % 9 == 0 else 5)))) for k in range(n)})
+
+
+def test_distances_of_many():
+    forms = [*some_forms(random.Random(3), 160, 45), ""]
+    for p in forms[::17]:
+        assert distances(forms, p).tolist() == [distance(syllables(f), syllables(p)) for f in forms]
+
+
+def test_signatures_against_brute_force():
+    forms = some_forms(random.Random(3), 200)
+    forms += [skeleton("솔벤" * 60), skeleton("솔벤" * 60 + "덜"), skeleton("솔벤" * 30 + "덜" + "솔벤" * 30)]
+    of = {f: signatures(f) for f in forms}
+
+    def meet(a, b):
+        of_a, of_b = set(of[a]), set(of[b])
+        same = {s for s, r in of_a if r == names.SAME} & {s for s, r in of_b if r == names.SAME}
+        part = lambda x, y: {s for s, r in x if r == names.WHOLE} & {s for s, r in y if r == names.SHORT}
+        return bool(same or part(of_a, of_b) or part(of_b, of_a))
+
+    for a, b in itertools.combinations(forms, 2):
+        true = len(a) < 100 and distance(syllables(a), syllables(b)) <= names.RADIUS or len(a) > 100 and abs(len(syllables(a)) - len(syllables(b))) == 1
+        assert within(a, b) == true, (a, b)
+        assert meet(a, b) or not true
 
 
 @pytest.mark.parametrize(
@@ -95,16 +128,31 @@ def test_empty(spark):
     assert names.company_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_blocks_keep_all_links(spark, monkeypatch):
+def test_cells_keep_all_links(spark, monkeypatch):
     rnd = random.Random(5)
     base = ["".join(rnd.choice("가나다라곤덜밀벤솔하") for _ in range(4)) for _ in range(60)]
     stems = sorted({s for b in base for s in (b, b[:2] + b[3:], b[0] + b[2] + b[1] + b[3])})
-    forms = spark.createDataFrame([("soft", skeleton(s), [spelling(s)]) for s in {skeleton(s): s for s in stems}.values()], "business string, form string, spellings array<string>")
-    want = {tuple(r) for r in names.radius_join(forms).collect()}
-    monkeypatch.setattr(names, "CELL", 20)
-    monkeypatch.setattr(names, "HOME_BLOCK", 7)
-    monkeypatch.setattr(names, "MEMBER_BLOCK", 11)
+    spelt = {skeleton(s): s for s in stems}
+    forms = spark.createDataFrame([(f, [spelling(s)]) for f, s in spelt.items()], "form string, spellings array<string>")
+    want = {(a, b) for a, b in itertools.combinations(sorted(spelt), 2) if within(a, b) and one_slip(spelling(spelt[a]), spelling(spelt[b]))}
     assert want and {tuple(r) for r in names.radius_join(forms).collect()} == want
+    monkeypatch.setattr(names, "CELL", 20)
+    assert len(names.pivots_of(forms)) > 4
+    assert {tuple(r) for r in names.radius_join(forms).collect()} == want
+
+
+def test_unlisted_lines_and_slips_in_them(spark):
+    rows = [
+        (1, None, "(주)한빛새솔인포텍", None, ""), (2, None, "한빛새솔인포텤", None, ""), (3, None, "가람도담건설", None, ""), (4, None, "가람도단건설 주식회사", None, ""),
+        (5, None, "가람도담제약", None, ""), (6, None, "한빛새솔건설", None, ""),
+    ]
+    assert classes(spark, rows) == [[1, 2], [3, 4], [5], [6]]
+
+
+def test_a_name_of_many_keys(spark):
+    rows = [(i, f"k{i}", "같은이름소프트", f"모임{'가나다라마'[i % 5]}{'바사아자하'[i // 5]}그룹", "") for i in range(25)]
+    rows += [(100 + i, None, "같은이름소프트", f"모임{'가나다라마'[i % 5]}{'바사아자하'[i // 5]}", "") for i in range(25)] + [(200, None, "같은이름소프트(주)", None, ""), (201, None, "같은이름소프트", "다른그룹", "")]
+    assert classes(spark, rows) == [[i, 100 + i] for i in range(25)] + [[200, 201]]
 
 
 def test_hot_class(spark, monkeypatch):
