@@ -34,7 +34,34 @@ def test_stable_and_prefilter(text):
         assert once == text
 
 
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aeEoO가각ㅏ각한\u0301\u0323\u0308\u0302\u093cक\u0958ẹ́éệ\u3099がか \u09c7\u09be\u0344\u1e9b\u0307"), max_size=12))
+def test_compositions_against_unicode(text):
+    assert transducer().apply(text) == unicodedata.normalize("NFC", text)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Pythoд", "Pythod"), ("Ꭺpple", "Apple"), ("ꓑython", "Python"), ("Java\u0430\u0301x", "Java\u00e1x"), ("\u0430\u0301x", "\u00e1x"), ("Ⲁngular", "Angular"), ("Реrl", "Perl"), ("Perl-Д", "Perl-Д"), ("React를", "React를"), ("β-x λ", "β-x λ"), ("Nоde가", "Node가"), ("e\u200b\u0301", "é"),
+        ("\u0301", "\u0301"), ("👍\u0301a", "👍\u0301a"), ("ｶ\uff9e", "ガ"), ("é\u0323", "ẹ́"), ("1️⃣ x", "1️⃣ x"), ("a\ufe0f", "a"),
+    ],
+)
+def test_one_pass(text, want):
+    assert transducer().apply(text) == want
+    assert transducer().apply(want) == want
+
+
+def test_long_marks():
+    for text in ("a" + "\u0301" * 50_000, "\u1100" * 100_000, "а" * 100_000 + "b"):
+        assert transducer().apply(text)
+
+
 def test_conflicts():
+    with pytest.raises(ValueError):
+        checked({}, {"а": "о", "о": "o"})
+    with pytest.raises(ValueError):
+        checked({"а": "x"}, {"а": "a"})
     with pytest.raises(ValueError):
         checked({"Ａ": "Ｂ", "Ｂ": "B"})
 
