@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fernmill.functions import columns, listtexts
 from fernmill.operators import dimensions, instants, matcher, merge, report, selection, snapshots, stats
-from fernmill.session import table
+from fernmill.session import state_dir, table
 from fernmill.sources import html, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return instants.normalised(table(spark, d, "list_item"), table(spark, d, "posting"))
+    # the dictionary of a directory is found again by later calls: they parse only what is new
+    return instants.normalised(table(spark, d, "list_item"), table(spark, d, "posting"), instants.ValueDictionary(spark, state_dir(spark, "instants2", d)))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from datetime import date, datetime, timedelta, timezone
 from functools import lru_cache
@@ -19,9 +20,9 @@ from zoneinfo import ZoneInfo, available_timezones
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fernmill.functions.columns import day as day_of
 from fernmill.functions.lookalikes import LOOKALIKES
-from fernmill.session import path_exists, scratch
+from fernmill.session import materialise, scratch, spread
+from fernmill.sources.store import Conflict, Pointer
 
 DEFAULT_ZONE = "Asia/Seoul"
 #: Values older than this many days before they were seen, and deadlines further ahead, mean nothing.
@@ -238,30 +239,47 @@ def parse_deadline(raw: str, zone: str | None) -> tuple[str, int] | None:
 
 
 class ValueDictionary:
-    """The distinct raw values and what they mean, kept as a table that only grows."""
+    """The distinct raw values and what they mean, kept as a table that only grows.
+
+    Each delivery's new values are a folder of their own; which folders count is a version, moved
+    once the folder is whole.
+    """
+
+    SCHEMA = "kind string, raw string, zone string, means string, value bigint, batch int"
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, (path or scratch(spark, "instants")).rstrip("/")
-        self.schema = "kind string, raw string, zone string, rows bigint, means string, value bigint, batch int"
+        self.pointer = Pointer(spark, self.path)
 
     def table(self) -> DataFrame:
-        at = f"{self.path}/values"
-        if not path_exists(self.spark, at):
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(at)
+        _, of = self.pointer.read()
+        if not of.get("folders"):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/{f}" for f in of["folders"]])
 
-    def extend(self, values: DataFrame) -> None:
+    def extend(self, values: DataFrame) -> DataFrame:
         """Parse the values (kind, raw, zone) that are not in the table yet and add them.
 
-        ``rows`` counts the rows of the values' first delivery, from which hot ones are known.
+        Returns the distinct values of this delivery with their number of ``rows``. If another
+        run adds values meanwhile, what is missing still is added after it.
         """
-        distinct = values.where("raw is not null").groupBy("kind", "raw", "zone").agg(F.count("*").alias("rows"))
-        batch = 0
-        if path_exists(self.spark, f"{self.path}/values"):
-            known = self.table()
-            batch = (known.agg(F.max("batch")).first()[0] or 0) + 1
+        counted = materialise(values.where("raw is not null").groupBy("kind", "raw", "zone").agg(F.count("*").alias("rows")), "instant-values")
+        while True:
+            try:
+                self._add(counted)
+                return counted
+            except Conflict:
+                continue
+
+    def _add(self, counted: DataFrame) -> None:
+        v, of = self.pointer.read()
+        distinct = counted.select("kind", "raw", "zone")
+        if v:
+            known = self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/{f}" for f in of["folders"]])
             same = [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("kind", "raw", "zone")]
-            distinct = distinct.alias("n").join(known.select("kind", "raw", "zone").alias("k"), same, "left_anti")
+            distinct = distinct.alias("n").join(known.alias("k"), same, "left_anti")
+            if distinct.isEmpty():
+                return
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -272,24 +290,28 @@ class ValueDictionary:
                     names=[*b.schema.names, "means", "value"],
                 )
 
-        parsed = distinct.select("kind", "raw", "zone", "rows").mapInArrow(run, "kind string, raw string, zone string, rows bigint, means string, value bigint")
-        parsed.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{self.path}/values")
+        folder = f"values-{uuid.uuid4().hex[:12]}"
+        parsed = (distinct if v else spread(distinct)).mapInArrow(run, "kind string, raw string, zone string, means string, value bigint")
+        parsed.withColumn("batch", F.lit(v)).write.parquet(f"{self.path}/{folder}")
+        self.pointer.move(v + 1, {"folders": [*of.get("folders", []), folder]})
+        self.pointer.forget(2)
 
-    def join(self, rows: DataFrame, row_key: str) -> DataFrame:
+    def join(self, rows: DataFrame, counted: DataFrame, row_key: str) -> DataFrame:
         """The rows (with kind, raw, zone) with ``means`` and ``value``; rows that mean nothing drop out.
 
         A value that holds a thousandth of all rows or more is looked up by broadcast (there
         can be no more than a thousand of them); its rows take no part in the shuffle join's
         skew, as they go to it under keys of their own.
         """
+        of = ["kind", "raw", "zone"]
+        total = counted.agg(F.sum("rows")).first()[0] or 0
+        held = counted.where(F.col("rows") * HOT_SHARE >= F.lit(max(total, HOT_SHARE))).select(*of)
         values = self.table()
-        total = values.agg(F.sum("rows")).first()[0] or 0
-        is_hot = F.col("rows") * HOT_SHARE >= F.lit(max(total, HOT_SHARE))
-        hot = values.where(is_hot).select("kind", "raw", "zone", F.struct("means", "value").alias("hot"))
-        cold = values.where(~is_hot & F.col("means").isNotNull()).select(F.concat_ws("\x01", "kind", "zone", "raw").alias("_key"), F.struct("means", "value").alias("cold"))
-        near = rows.where("raw is not null").join(F.broadcast(hot), ["kind", "raw", "zone"], "left")
-        spread = F.when(F.col("hot").isNotNull(), F.concat(F.lit("\x02"), F.col(row_key).cast("string"))).otherwise(F.concat_ws("\x01", "kind", "zone", "raw"))
-        both = near.withColumn("_key", spread).join(cold, "_key", "left")
+        hot = values.join(F.broadcast(held), of, "left_semi").select(*of, F.struct("means", "value").alias("hot"))
+        cold = values.join(F.broadcast(held), of, "left_anti").where("means is not null").select(F.concat_ws("\x01", "kind", "zone", "raw").alias("_key"), F.struct("means", "value").alias("cold"))
+        near = rows.where("raw is not null").join(F.broadcast(hot), of, "left")
+        own = F.when(F.col("hot").isNotNull(), F.concat(F.lit("\x02"), F.col(row_key).cast("string"))).otherwise(F.concat_ws("\x01", "kind", "zone", "raw"))
+        both = near.withColumn("_key", own).join(cold, "_key", "left")
         meant = F.coalesce("hot", "cold")
         return both.select(*[c for c in rows.columns if c != "raw"], meant["means"].alias("means"), meant["value"].alias("value")).where("means is not null")
 
@@ -303,8 +325,12 @@ def next_month_day(month_day: Column, day: Column) -> Column:
     """The first such day not earlier than 30 days before ``day``; leap days wait for their year."""
     least = F.date_sub(day, 30)
     month, d = F.floor(month_day / 100).cast("int"), (month_day % 100).cast("int")
-    tries = [day_of(F.year(least) + F.lit(k), month, d) for k in range(9)]
-    return F.coalesce(*[F.when(t >= least, t) for t in tries])
+    year = F.year(least)
+    # a leap year comes within eight years; one expression for all tries keeps the code small
+    first = F.filter(
+        F.transform(F.sequence(year, year + 8), lambda y: F.make_date(y, month, F.lit(1))), lambda m: (F.dayofmonth(F.last_day(m)) >= d) & (F.date_add(m, d - 1) >= least)
+    )
+    return F.date_add(F.get(first, F.lit(0)), d - 1)
 
 
 def normalised(list_item: DataFrame, posting: DataFrame, dictionary: ValueDictionary | None = None) -> DataFrame:
@@ -322,15 +348,16 @@ def normalised(list_item: DataFrame, posting: DataFrame, dictionary: ValueDictio
         F.col("row_id").alias("row_key"), F.lit("modified").alias("kind"), F.col("list_modified_at").alias("raw"), F.lit(DEFAULT_ZONE).alias("zone"), F.to_utc_timestamp(F.col("snap_on").cast("timestamp"), "UTC").alias("seen_at")
     )
     rows = items.unionByName(posts).where(F.col("raw").isNotNull() & F.col("row_key").isNotNull())
-    dictionary.extend(rows.select("kind", "raw", "zone"))
-    found = dictionary.join(rows, "row_key")
+    counted = dictionary.extend(rows.select("kind", "raw", "zone"))
+    # the day at the site is worked out once, before the forms of a meaning are told apart
+    zone = F.when(F.col("zone") != "?", F.col("zone"))
+    found = dictionary.join(rows, counted, "row_key").withColumn("seen_day", F.when(F.col("kind") == "deadline", F.to_date(F.from_utc_timestamp("seen_at", zone))))
 
     seen_s = F.floor(F.unix_micros("seen_at") / 1_000_000).cast("bigint")
     second = F.when(F.col("means") == "instant", F.col("value")).when((F.col("means") == "ago") & (F.col("kind") == "posted"), seen_s - F.col("value"))
     fresh = F.col("seen_at").isNull() | (seen_s - second <= MOST_DAYS_AGO * 86400)
     instant = F.when(fresh, F.date_format(F.timestamp_seconds(second), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    zone = F.when(F.col("zone") != "?", F.col("zone"))
-    seen_day = F.to_date(F.from_utc_timestamp("seen_at", zone))
+    seen_day = F.col("seen_day")
     day = (
         F.when(F.col("means") == "day", F.date_add(F.lit("1970-01-01").cast("date"), F.col("value").cast("int")))
         .when(F.col("means") == "ahead", F.date_add(seen_day, F.col("value").cast("int")))

@@ -127,7 +127,28 @@ def test_empty_tables(spark):
 def test_dictionary_grows(spark):
     d = instants.ValueDictionary(spark)
     values = lambda *raw: spark.createDataFrame([("posted", r, SEOUL) for r in raw], "kind string, raw string, zone string")
-    d.extend(values("어제 등록", "어제 등록", "2026.03.08", None))
+    first = d.extend(values("어제 등록", "어제 등록", "2026.03.08", None))
+    assert {(r.raw, r.rows) for r in first.collect()} == {("어제 등록", 2), ("2026.03.08", 1)}
     d.extend(values("2026.03.08", "2026.03.09"))
-    rows = {(r.raw, r.batch, r.rows) for r in d.table().collect()}
-    assert rows == {("어제 등록", 0, 2), ("2026.03.08", 0, 1), ("2026.03.09", 1, 1)}
+    d.extend(values("2026.03.09"))
+    want = {("어제 등록", 0), ("2026.03.08", 0), ("2026.03.09", 1)}
+    assert {(r.raw, r.batch) for r in d.table().collect()} == want and d.pointer.read()[0] == 2
+    # another session finds it again
+    assert {(r.raw, r.batch) for r in instants.ValueDictionary(spark, d.path).table().collect()} == want
+
+
+def test_later_rows_of_known_values(spark):
+    d = instants.ValueDictionary(spark)
+    seen = datetime(2026, 3, 9, 20)
+    item = lambda *texts: spark.createDataFrame([(i, t, None, seen, None, "x", "y") for i, t in enumerate(texts)], ITEM)
+    none = spark.createDataFrame([], POSTING)
+    assert {r.norm for r in instants.normalised(item("D-1", "~04.02"), none, d).collect()} == {"2026-03-11", "2026-04-02"}
+    assert {r.norm for r in instants.normalised(item("D-1", "D-2"), none, d).collect()} == {"2026-03-11", "2026-03-12"}
+    assert d.table().count() == 3
+
+
+def test_next_month_day(spark):
+    cases = [(229, datetime(2026, 3, 9), "2028-02-29"), (229, datetime(2024, 3, 30), "2024-02-29"), (229, datetime(2024, 3, 31), "2028-02-29"), (229, datetime(2096, 12, 1), "2104-02-29"), (1231, datetime(2026, 1, 30), "2025-12-31"), (1231, datetime(2026, 1, 31), "2026-12-31"), (430, datetime(2026, 5, 31), "2027-04-30"), (430, datetime(2026, 5, 30), "2026-04-30")]
+    df = spark.createDataFrame([(m, d.date(), w) for m, d, w in cases], "m bigint, d date, want string")
+    got = df.select(instants.next_month_day(instants.F.col("m"), instants.F.col("d")).cast("string").alias("x"), "want").collect()
+    assert [r.x for r in got] == [r.want for r in got]
