@@ -195,7 +195,7 @@ def text_cut(spark: SparkSession, d: str) -> DataFrame:
 def match_documents(spark: SparkSession, d: str) -> DataFrame:
     """The skills whose full names stand in documents, the longest names first."""
     names = table(spark, d, "skill").select(F.lower("name").alias("alias"), "skill_id", F.lit(1).alias("text_match"))
-    patterns = matcher.alias_patterns(spark, names)
+    patterns = matcher.alias_rules(names)
     return matcher.match_names(table(spark, d, "documents"), patterns, key=["doc_id"], text="text")
 
 
@@ -225,7 +225,7 @@ def match_raw_skills(spark: SparkSession, d: str) -> DataFrame:
     """Distinct (raw_id, skill_id, source) of tags and of the texts, by aliases in context."""
     raw = table(spark, d, "raw_document")
     aliases = _aliases(spark, d)
-    patterns = matcher.alias_patterns(spark, aliases)
+    patterns = matcher.alias_rules(aliases)
 
     def of(column: str) -> DataFrame:
         lines = raw.select(F.col("raw_id").alias("posting_id"), F.array_join(column, "\n").alias("text"))
