@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fernmill.functions import columns, listtexts
-from fernmill.operators import dimensions, instants, matcher, merge, report, selection, snapshots, stats
+from fernmill.operators import dimensions, instants, matcher, merge, postings, report, selection, snapshots, stats
 from fernmill.session import state_dir, table
 from fernmill.sources import html, store
 
@@ -85,8 +85,13 @@ def open_per_job(spark: SparkSession, d: str) -> DataFrame:
     return selection.open_per_job(posting, links)
 
 
+def _typed(posting: DataFrame) -> DataFrame:
+    """The postings with the time of their modification, where it is written to the second."""
+    return posting.withColumn("list_modified_at", postings.stored_time(F.col("list_modified_at")))
+
+
 def detail_targets(spark: SparkSession, d: str) -> DataFrame:
-    return selection.detail_targets(_state(spark, d)[0])
+    return selection.detail_targets(_typed(_state(spark, d)[0]))
 
 
 def skill_targets(spark: SparkSession, d: str) -> DataFrame:
@@ -128,9 +133,8 @@ def unlink_unconfirmed(spark: SparkSession, d: str) -> DataFrame:
 def list_completeness(spark: SparkSession, d: str) -> DataFrame:
     """For each delivery whether it has all postings of the one before and whether it dropped by half."""
     sizes = table(spark, d, "posting").groupBy("snap_no").agg(F.countDistinct("posting_id").alias("seen"))
-    before = sizes.select((F.col("snap_no")).alias("p"), F.col("seen").alias("total"))
-    pairs = table(spark, d, "posting").select("snap_no").distinct().alias("a").join(sizes.select(F.col("snap_no").alias("q")).alias("b"), F.col("a.snap_no") > F.col("b.q")).groupBy("snap_no").agg(F.max("q").alias("p"))
-    return sizes.join(pairs, "snap_no", "left").join(before, "p", "left").select(
+    before = sizes.withColumn("total", F.lag("seen").over(Window.orderBy("snap_no")))  # a row a delivery
+    return before.select(
         "snap_no", "seen", "total", selection.list_complete(F.col("total"), F.col("seen")).alias("complete"), F.coalesce(selection.half_dropped(F.col("total"), F.col("seen")), F.lit(False)).alias("dropped")
     )
 
@@ -140,15 +144,42 @@ def raw_retention(spark: SparkSession, d: str) -> DataFrame:
 
 
 def posting_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """The state before the last delivery, after that delivery is merged into it."""
+    """The state before the last delivery, after that delivery is merged into it by a rule a column."""
     before, now, _ = _before(spark, d)
     cols = ["posting_id", "title", "region", "deadline_on", "first_seen_at", "last_seen_at", "detail_fail_cnt"]
     rules = {
-        "title": merge.take_if_known, "region": merge.take, "deadline_on": merge.later, "first_seen_at": merge.earlier, "last_seen_at": merge.later, "detail_fail_cnt": merge.add,
+        "title": merge.take_if_known, "region": merge.take, "deadline_on": merge.later, "first_seen_at": merge.earlier, "last_seen_at": merge.later, "detail_fail_cnt": merge.take,
     }
     return merge.upsert(before.select(*cols), now.select(*cols), ["posting_id"], rules).select("posting_id", "title", "region", "deadline_on", F.col("detail_fail_cnt").cast("bigint").alias("detail_fail_cnt"))
 
 
+def list_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The current postings after the items of list pages were seen."""
+    state = _typed(_state(spark, d)[0]).select(*postings.STATE)
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    out = postings.list_upsert(state, postings.seen_in_lists(table(spark, d, "list_item")))
+    fails = F.coalesce("detail_fail_cnt", F.lit(-1)).cast("bigint").alias("detail_fail_cnt")
+    return out.select("posting_id", "title", "deadline_type", F.date_format("deadline_on", "yyyy-MM-dd").alias("deadline_on"), fails, text("list_modified_at"), text("last_seen_at"), "change")
+
+
+def link_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Postings with the sizes of company under which list items showed them, with the last time: earlier days merged with later ones."""
+    item = table(spark, d, "list_item").where("seen_at is not null").select("posting_id", F.col("size_label").alias("job"), "seen_at")
+    cut = item.agg(F.expr("percentile_approx(unix_seconds(seen_at), 0.5, 1000)")).first()[0]
+    early, late = (item.where(f"unix_seconds(seen_at) {sign} {cut or 0}") for sign in ("<=", ">"))
+    links = early.where("posting_id is not null and job is not null").groupBy("posting_id", "job").agg(F.max("seen_at").alias("last_seen_at"))
+    return postings.link_upsert(links, late.withColumnRenamed("seen_at", "now")).select("posting_id", "job", F.unix_micros("last_seen_at").alias("last_seen"))
+
+
+def company_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The companies after those of list items are merged in, counted a key; new ones are told by their ids."""
+    item = table(spark, d, "list_item").select(F.col("company_csn").alias("csn"), F.col("company_name").alias("name"), "group_name", "size_label", F.struct("seen_at", "item_id").alias("at"))
+    out = dimensions.company_merge(table(spark, d, "company"), item)
+    stored = table(spark, d, "company").agg(F.max("company_id").alias("top"))
+    new = F.col("company_id") > F.col("top")  # one row
+    return out.crossJoin(F.broadcast(stored)).select("saramin_csn", "name", "group_name", "size_label", new.alias("is_new"), F.when(~new, F.col("company_id")).alias("company_id"))
+
+
 def company_lookup(spark: SparkSession, d: str) -> DataFrame:
     seen = table(spark, d, "list_item").select(F.col("company_name").alias("name"), F.col("company_csn").alias("csn"))
     return dimensions.company_keys(table(spark, d, "company"), seen)
@@ -218,52 +249,88 @@ def tag_skills(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unmatched_tags(spark: SparkSession, d: str) -> DataFrame:
-    return matcher.unmatched_tags(matcher.resolved_tags(_raw_tags(spark, d), table(spark, d, "skill"), _aliases(spark, d)))
+    """Tag names that neither a code nor an alias of the list resolves; names of skills count as aliases only if they are listed."""
+    skill = table(spark, d, "skill").select("skill_id", F.lower("name").alias("k"))
+    listed = table(spark, d, "skill_alias").select("alias", F.lower("skill").alias("k")).join(skill, "k").select("alias", "skill_id")
+    return matcher.unmatched_tags(matcher.resolved_tags(_raw_tags(spark, d), table(spark, d, "skill"), listed))
 
 
 def match_raw_skills(spark: SparkSession, d: str) -> DataFrame:
     """Distinct (raw_id, skill_id, source) of tags and of the texts, by aliases in context."""
     raw = table(spark, d, "raw_document")
     aliases = _aliases(spark, d)
-    patterns = matcher.alias_rules(aliases)
+    rules = matcher.alias_rules(aliases)
+    lines = lambda *c: F.array_join(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in c]), "\n")
+    storage = table(spark, d, "skill").where("lower(name) = 'sas'").agg(F.min("skill_id")).first()[0]
+    whole = raw.select(F.col("raw_id").alias("posting_id"), lines("required", "preferred").alias("text"))
 
     def of(column: str) -> DataFrame:
-        lines = raw.select(F.col("raw_id").alias("posting_id"), F.array_join(column, "\n").alias("text"))
-        return matcher.match_names(lines, patterns, key=["posting_id"], text="text")
+        found = matcher.match_names(raw.select(F.col("raw_id").alias("posting_id"), lines(column).alias("text")), rules, key=["posting_id"], text="text")
+        return matcher.drop_by_context(found, whole, key="posting_id", text="text", skill_id=storage)
 
     tags = matcher.resolved_tags(_raw_tags(spark, d), table(spark, d, "skill"), aliases)
     return matcher.with_sources(tags, of("required"), of("preferred")).withColumnRenamed("posting_id", "raw_id")
 
 
 # -- pages and documents ------------------------------------------------------------------
-def _escaped(c: str):  # type: ignore[no-untyped-def]
-    s = F.col(c)
+def _escaped(c):  # type: ignore[no-untyped-def]
+    s = F.col(c) if isinstance(c, str) else c
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         s = F.replace(s, F.lit(a), F.lit(b))
     return s
 
 
 def list_page_items(spark: SparkSession, d: str) -> DataFrame:
-    """Items of list pages, written as HTML from the list items and read back from it."""
+    """Items of list pages, written as HTML from the list items and read back from it; all thirteen fields."""
     tag = lambda name, cls, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f'<{name} class="{cls}">'), _escaped(c), F.lit(f"</{name}>"))).otherwise("")
-    item = table(spark, d, "list_item")
+    item = table(spark, d, "list_item").withColumn("sectors", F.array_join(F.transform(F.filter("sector_preview", lambda x: x.isNotNull()), lambda x: F.concat(F.lit("<span>"), _escaped(x), F.lit("</span>"))), ""))
     page = item.select(
         "item_id",
         F.concat(
-            F.lit('<html><body><div class="list_body"><div class="list_item" id="rec-'), F.col("posting_id"), F.lit('"><div class="company_nm"><a class="str_tit" href="/c?x=1&amp;csn='),
-            F.coalesce(F.replace(F.replace(_escaped("company_csn"), F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20")), F.lit("")), F.lit('">'), _escaped("company_name"), F.lit("</a>"),
-            tag("span", "main_corp", "group_name"), tag("span", "info_stock", "size_label"), F.lit('</div><div class="job_tit"><a href="#">'), F.coalesce(_escaped("title"), F.lit("")), F.lit("</a></div>"),
-            tag("p", "work_place", "region"), tag("p", "career", "career_text"), tag("p", "education", "education_text"), F.lit("</div></div></body></html>"),
+            F.lit('<html><body><div class="list_body"><div class="list_item" id="rec-'), F.col("posting_id"), F.lit('"><div class="company_nm">'),
+            F.when(F.col("company_csn").isNull(), F.lit('<a class="str_tit" href="/c?x=1">')).otherwise(
+                F.concat(F.lit('<a class="str_tit" href="/c?x=1&amp;csn='), F.replace(F.replace(_escaped("company_csn"), F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20")), F.lit('">'))
+            ),
+            F.coalesce(_escaped("company_name"), F.lit("")), F.lit("</a>"), tag("span", "main_corp", "group_name"), tag("span", "info_stock", "size_label"), F.when(F.col("headhunting"), "<i>헤드헌팅</i>").otherwise(""),
+            F.lit('</div><div class="job_tit"><a href="#">'), F.coalesce(_escaped("title"), F.lit("")), F.lit('</a></div><div class="job_sector">'), F.coalesce("sectors", F.lit("")), F.lit("</div>"),
+            tag("p", "work_place", "region"), tag("p", "career", "career_text"), tag("p", "education", "education_text"),
+            F.lit('<div class="support_detail">'), tag("span", "date", "deadline_text"), tag("span", "deadlines", "posted_text"), F.lit("</div></div></div></body></html>"),
+        ).alias("html"),
+    )
+    read = html.list_items(page)
+    return read.select(*[F.array_join("sector_preview", "|").alias(c) if c == "sector_preview" else c for c in read.columns])
+
+
+def detail_page_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Detail pages, written as HTML from raw documents and read back: lines, tags, summary and period."""
+    part = lambda c, inner: F.array_join(F.transform(F.filter(c, lambda x: x.isNotNull()), inner), "")
+    lines = lambda c: part(c, lambda x: F.concat(F.lit("<p>"), _escaped(x), F.lit("</p>")))
+    tag = lambda t: F.concat(F.lit('<a href="/s?cat_kewd='), t["code"].cast("string"), F.lit('">#'), _escaped(t["name"]), F.lit("</a>"))
+    raw = table(spark, d, "raw_document").select("raw_id", "required", "preferred", F.filter("tags", lambda t: t["code"].isNotNull() & t["name"].isNotNull()).alias("tags"), F.date_format("fetched_at", "yyyy.MM.dd HH:mm").alias("at"))
+    page = raw.select(
+        "raw_id",
+        F.concat(
+            F.lit('<h1 class="tit_job">제목</h1><div class="jv_summary"><dl><dt>경력</dt><dd><strong>경력 3~5년</strong><button>보기</button></dd></dl><dl><dt>번호</dt><dd>'), F.col("raw_id"),
+            F.lit('<span style="display:none">숨김</span></dd></dl><div id="details-required-1">'), F.coalesce(lines("required"), F.lit("")), F.lit('</div><div id="details-preferred-1">'),
+            F.coalesce(lines("preferred"), F.lit("")), F.lit('</div></div><div class="jv_howto"><dl class="info_period"><dt>시작일</dt><dd>'), F.coalesce("at", F.lit("")), F.lit("</dd></dl></div>"),
+            F.lit('<div class="jv_footer"><div class="tags">'), F.coalesce(F.array_join(F.transform("tags", tag), ""), F.lit("")), F.lit("</div></div>"),
         ).alias("html"),
     )
-    return html.list_items(page).select("item_id", "posting_id", "group_name", "size_label", "region", "career_text", "education_text")
+    p = html.detail_pages(page)
+    career = listtexts.career(F.col("page.summary")["경력"])
+    return p.select(
+        "raw_id", "page.error", F.array_join("page.required", "|").alias("required"), F.array_join("page.preferred", "|").alias("preferred"), F.size("page.tags").cast("bigint").alias("tags"),
+        F.aggregate("page.tags", F.lit(0).cast("bigint"), lambda s, t: s + t["code"]).alias("codes"), F.col("page.summary")["번호"].alias("number"), career["exp_min"].alias("exp_min"), career["exp_max"].alias("exp_max"),
+        F.date_format("page.start_at", "yyyy-MM-dd HH:mm").alias("start_at"),
+    )
 
 
 def raw_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Raw documents written as JSON and read back, as counts of their parts."""
-    body = store.to_json(table(spark, d, "raw_document"), "raw_id")
-    n = lambda c: F.coalesce(F.size(c), F.lit(-1)).cast("bigint")
-    return store.from_json(body, "raw_id").select("raw_id", "readable", *[F.when(F.col(c).isNull(), F.lit(-1)).otherwise(n(c)).cast("bigint").alias(c) for c in ("tags", "required", "preferred")])
+    """Raw documents written as JSON, each seventh cut off, and read back, with their content."""
+    body = store.to_json(table(spark, d, "raw_document"), "raw_id").withColumn("body", F.when(F.col("raw_id") % 7 == 0, F.expr("left(body, length(body) - 1)")).otherwise(F.col("body")))
+    text = lambda c: F.array_join(c, "|", "~").alias(c)
+    tags = F.array_join(F.transform("tags", lambda t: F.concat_ws(":", F.coalesce(t["code"].cast("string"), F.lit("~")), F.coalesce(t["name"], F.lit("~")))), "|").alias("tags")
+    return store.from_json(body, "raw_id").select("raw_id", "readable", tags, text("required"), text("preferred"))
 
 
 def queries() -> dict[str, Query]:
@@ -271,8 +338,8 @@ def queries() -> dict[str, Query]:
         f.__name__: f
         for f in (
             p5_found, p7_found, job_skill_stat, stat_top20, stat_replace_day, report_totals, report_jobs, report_sources, report_categories, report_careers, report_deadlines, report_text_only, report_runs,
-            open_per_job, detail_targets, skill_targets, missing_guard_job, missing_guard_overall, stale_link_guard, unlink_unconfirmed, list_completeness, raw_retention, posting_upsert, company_lookup,
-            alias_conflicts, skill_sync_plan, parse_deadline, parse_posted, parse_career, text_cut, match_documents, tag_skills, unmatched_tags, match_raw_skills, list_page_items, raw_round_trip,
+            open_per_job, detail_targets, skill_targets, missing_guard_job, missing_guard_overall, stale_link_guard, unlink_unconfirmed, list_completeness, raw_retention, posting_upsert, list_upsert, link_upsert, company_lookup, company_upsert,
+            alias_conflicts, skill_sync_plan, parse_deadline, parse_posted, parse_career, text_cut, match_documents, tag_skills, unmatched_tags, match_raw_skills, list_page_items, detail_page_fields, raw_round_trip,
         )
     }
 

@@ -12,6 +12,7 @@ _PJ = """
            WHERE posting_id IS NOT NULL AND region IS NOT NULL GROUP BY 1, 2 HAVING regexp_extract(region, '^\\s*(\\S+)', 1) <> '')"""
 _ACT = """
     act AS (SELECT DISTINCT x.posting_id, x.skill_id FROM posting_skill x JOIN skill k ON k.skill_id = x.skill_id WHERE k.is_active = 1)"""
+_STORED = r"CASE WHEN regexp_full_match(list_modified_at, '\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}') THEN TRY_CAST(list_modified_at AS TIMESTAMP) END"
 _NOW = "CAST(floor(epoch(seen_at)) AS BIGINT)"
 _DAY = "(DATE '1970-01-01' + CAST(floor(epoch(seen_at) / 86400) AS INTEGER))"
 
@@ -111,7 +112,9 @@ SQL: dict[str, str] = {
         SELECT snap_no, max(snap_on) AS snap_on, count(*) AS list_cnt, count(DISTINCT posting_id) AS postings, count(*) FILTER (is_closed = 1) AS closed_cnt
         FROM posting GROUP BY 1 ORDER BY 1 DESC LIMIT 10""",
     "open_per_job": f"WITH {_CUR}, {_PJ} SELECT job, count(*) AS open_postings FROM pj WHERE posting_id IN (SELECT posting_id FROM cur WHERE is_closed = 0) GROUP BY 1",
-    "detail_targets": f"WITH {_CUR} SELECT posting_id FROM cur WHERE is_closed = 0 AND coalesce(detail_fail_cnt, 0) < 3 AND detail_at IS NULL",
+    "detail_targets": f"""
+        WITH {_CUR} SELECT posting_id FROM cur
+        WHERE is_closed = 0 AND coalesce(detail_fail_cnt, 0) < 3 AND (detail_at IS NULL OR {_STORED} > detail_at)""",
     "skill_targets": f"WITH {_CUR} SELECT posting_id FROM cur WHERE is_closed = 0 AND detail_at IS NOT NULL",
     "missing_guard_job": f"""
         WITH {_CUR}, {_PRE}, {_PJ}, m AS (
@@ -142,7 +145,7 @@ SQL: dict[str, str] = {
                CASE WHEN c.posting_id IS NULL THEN p.region ELSE c.region END AS region,
                greatest(p.deadline_on, c.deadline_on) AS deadline_on,
                CAST(CASE WHEN p.posting_id IS NULL THEN c.detail_fail_cnt WHEN c.posting_id IS NULL THEN p.detail_fail_cnt
-                         ELSE coalesce(p.detail_fail_cnt, 0) + coalesce(c.detail_fail_cnt, 0) END AS BIGINT) AS detail_fail_cnt
+                         ELSE c.detail_fail_cnt END AS BIGINT) AS detail_fail_cnt
         FROM pre p FULL JOIN cur c ON p.posting_id = c.posting_id""",
     "company_lookup": """
         WITH s AS (SELECT DISTINCT company_name AS name, company_csn AS csn FROM list_item),
@@ -194,12 +197,88 @@ SQL: dict[str, str] = {
     "text_cut": f"""
         SELECT item_id, left({_TRIM.format('title')}, 20) AS title, deadline_text IS NULL OR regexp_full_match(deadline_text, '[\\x09-\\x0d\\x1c-\\x20]*') AS blank FROM list_item""",
     "tag_skills": f"""
-        WITH t AS (SELECT raw_id, unnest(tags) AS g FROM raw_document), g AS (SELECT raw_id, g.code AS code, {_NORM.format('g.name')} AS alias FROM t),
-        a AS (SELECT alias, max(skill_id) AS skill_id FROM (SELECT l.alias, s.skill_id FROM skill_alias l JOIN skill s ON lower(s.name) = lower(l.skill) UNION SELECT lower(name), skill_id FROM skill) GROUP BY 1 HAVING count(DISTINCT skill_id) = 1),
+        WITH t AS (SELECT raw_id, unnest(tags) AS g FROM raw_document),
+        u AS (SELECT raw_id, g FROM t WHERE g.code IS DISTINCT FROM 193 OR raw_id IN (SELECT raw_id FROM t WHERE g.code IN (305, 246, 288, 207, 303))),
+        g AS (SELECT raw_id, g.code AS code, {_NORM.format('g.name')} AS alias FROM u),
+        a AS (SELECT {_NORM.format('alias')} AS alias, max(skill_id) AS skill_id
+              FROM (SELECT l.alias, s.skill_id FROM skill_alias l JOIN skill s ON lower(s.name) = lower(l.skill) UNION SELECT lower(name), skill_id FROM skill) GROUP BY 1 HAVING count(DISTINCT skill_id) = 1),
         r AS (SELECT raw_id, coalesce(s.skill_id, a.skill_id) AS skill_id FROM g LEFT JOIN skill s ON s.saramin_code = g.code AND s.is_active = 1 LEFT JOIN a ON a.alias = g.alias)
         SELECT skill_id, count(*) AS tags, count(DISTINCT raw_id) AS documents FROM r WHERE skill_id IS NOT NULL GROUP BY 1""",
+    "unmatched_tags": f"""
+        WITH t AS (SELECT raw_id, unnest(tags) AS g FROM raw_document),
+        g AS (SELECT g.code AS code, g.name AS name, {_NORM.format('g.name')} AS alias FROM t
+              WHERE g.code IS DISTINCT FROM 193 OR raw_id IN (SELECT raw_id FROM t WHERE g.code IN (305, 246, 288, 207, 303))),
+        a AS (SELECT {_NORM.format('alias')} AS alias FROM skill_alias l JOIN skill s ON lower(s.name) = lower(l.skill) GROUP BY 1 HAVING count(DISTINCT skill_id) = 1)
+        SELECT name, count(*) AS cnt FROM g WHERE name IS NOT NULL AND alias NOT IN (SELECT alias FROM a WHERE alias IS NOT NULL)
+          AND (code IS NULL OR code NOT IN (SELECT saramin_code FROM skill WHERE is_active = 1 AND saramin_code IS NOT NULL))
+        GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40""",
+}
+
+_ONE = "trim(regexp_replace({}, '[ \\t\\n\\f\\r]+', ' ', 'g'))"
+_EDGE = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
+
+def _lines(c: str) -> str:
+    """The lines of a list's texts: no-break spaces as spaces, without white space at the ends, no empty ones."""
+    parts = f"flatten(list_transform(list_filter(coalesce({c}, []), lambda x: x IS NOT NULL), lambda x: string_split(x, chr(10))))"
+    ends = f"list_transform({parts}, lambda x: regexp_replace(regexp_replace(replace(x, chr(160), ' '), '^{_EDGE}', ''), '{_EDGE}$', ''))"
+    return f"array_to_string(list_filter({ends}, lambda x: x <> ''), '|')"
+
+
+_SEOUL_DAY = "(DATE '1970-01-01' + CAST(floor((floor(epoch(seen_at)) + 32400) / 86400) AS INTEGER))"
+_WALL = "(TIMESTAMP '1970-01-01' + to_seconds({} + 32400))"
+SQL |= {
     "list_page_items": f"""
-        SELECT item_id, posting_id, {', '.join(f"CASE WHEN {c} IS NULL THEN NULL ELSE trim(regexp_replace({c}, '[ \\t\\n\\f\\r]+', ' ', 'g')) END AS {c}" for c in ('group_name', 'size_label', 'region', 'career_text', 'education_text'))} FROM list_item""",
+        SELECT item_id, posting_id, coalesce({_ONE.format('title')}, '') AS title, coalesce({_ONE.format('company_name')}, '') AS company_name, company_csn,
+               {', '.join(f"{_ONE.format(c)} AS {c}" for c in ('group_name', 'size_label'))},
+               coalesce(headhunting, false) OR contains(concat_ws(' ', company_name, group_name, size_label), '헤드헌팅') AS headhunting,
+               array_to_string(list_filter(list_transform(coalesce(sector_preview, []), lambda x: {_ONE.format('x')}), lambda x: x <> ''), '|') AS sector_preview,
+               {', '.join(f"{_ONE.format(c)} AS {c}" for c in ('region', 'career_text', 'education_text', 'deadline_text', 'posted_text'))}
+        FROM list_item""",
+    "detail_page_fields": f"""
+        WITH t AS (SELECT *, list_filter(coalesce(tags, []), lambda t: t.code IS NOT NULL AND t.name IS NOT NULL) AS g FROM raw_document), v AS (SELECT *, len(g) > 0 AS ok FROM t)
+        SELECT raw_id, CASE WHEN NOT ok THEN 'no tag with a code' END AS error, CASE WHEN ok THEN {_lines('required')} END AS required, CASE WHEN ok THEN {_lines('preferred')} END AS preferred,
+               CASE WHEN ok THEN CAST(len(g) AS BIGINT) END AS tags, CASE WHEN ok THEN CAST(list_sum(list_transform(g, lambda t: t.code)) AS BIGINT) END AS codes,
+               CASE WHEN ok THEN CAST(raw_id AS VARCHAR) END AS number, CASE WHEN ok THEN 3 END AS exp_min, CASE WHEN ok THEN 5 END AS exp_max,
+               CASE WHEN ok THEN strftime(fetched_at, '%Y-%m-%d %H:%M') END AS start_at
+        FROM v""",
     "raw_round_trip": """
-        SELECT raw_id, true AS readable, coalesce(len(tags), -1) AS tags, coalesce(len(required), -1) AS required, coalesce(len(preferred), -1) AS preferred FROM raw_document""",
+        SELECT raw_id, raw_id % 7 <> 0 AS readable,
+               CASE WHEN raw_id % 7 <> 0 THEN array_to_string(list_transform(tags, lambda t: concat(coalesce(CAST(t.code AS VARCHAR), '~'), ':', coalesce(t.name, '~'))), '|') END AS tags,
+               CASE WHEN raw_id % 7 <> 0 THEN array_to_string(list_transform(required, lambda x: coalesce(x, '~')), '|') END AS required,
+               CASE WHEN raw_id % 7 <> 0 THEN array_to_string(list_transform(preferred, lambda x: coalesce(x, '~')), '|') END AS preferred
+        FROM raw_document""",
+    "list_upsert": f"""
+        WITH {_CUR}, st AS (SELECT *, {_STORED} AS lm FROM cur),
+        dl AS ({SQL['parse_deadline'].replace(_DAY, _SEOUL_DAY)}), po AS ({SQL['parse_posted']}),
+        o AS (SELECT i.posting_id, i.title, regexp_full_match(coalesce(i.title, ''), '[\\x09-\\x0d\\x1c-\\x20]*') OR regexp_full_match(coalesce(i.company_name, ''), '[\\x09-\\x0d\\x1c-\\x20]*') AS blank,
+                     dl.type, TRY_CAST(dl.date AS DATE) AS day, dl.unknown AS odd, CASE WHEN po.modified THEN {_WALL.format('po.at_second')} END AS mod, coalesce(po.tolerance, 60) AS tol,
+                     {_WALL.format('floor(epoch(i.seen_at))')} AS now
+              FROM list_item i JOIN dl USING (item_id) LEFT JOIN po USING (item_id) WHERE i.posting_id IS NOT NULL AND i.seen_at IS NOT NULL
+              QUALIFY row_number() OVER (PARTITION BY i.posting_id ORDER BY i.seen_at DESC, i.item_id DESC) = 1),
+        b AS (SELECT s.posting_id AS sid, o.posting_id AS oid, s.title AS stitle, o.title AS otitle, s.deadline_type, s.deadline_on, s.detail_fail_cnt, s.lm, s.last_seen_at, o.* EXCLUDE (posting_id, title),
+                     coalesce(o.mod IS NOT NULL AND (s.lm IS NULL OR o.mod > s.lm + to_minutes(CAST(o.tol AS BIGINT))), false) AS fresh
+              FROM st s FULL JOIN o ON s.posting_id = o.posting_id WHERE s.posting_id IS NOT NULL OR NOT o.blank)
+        SELECT coalesce(sid, oid) AS posting_id,
+               CASE WHEN sid IS NOT NULL THEN stitle ELSE left({_TRIM.format('otitle')}, 300) END AS title,
+               CASE WHEN oid IS NULL OR (sid IS NOT NULL AND odd) THEN deadline_type ELSE type END AS deadline_type,
+               strftime(CASE WHEN oid IS NULL THEN deadline_on WHEN sid IS NULL THEN day WHEN NOT odd AND type <> 'DATE' AND deadline_type = 'DATE' THEN NULL
+                             WHEN day IS NOT NULL AND (deadline_on IS NULL OR deadline_on < day) THEN day ELSE deadline_on END, '%Y-%m-%d') AS deadline_on,
+               CAST(coalesce(CASE WHEN oid IS NULL THEN detail_fail_cnt WHEN sid IS NULL OR fresh THEN 0 ELSE detail_fail_cnt END, -1) AS BIGINT) AS detail_fail_cnt,
+               strftime(CASE WHEN oid IS NULL OR (sid IS NOT NULL AND NOT fresh) THEN lm ELSE mod END, '%Y-%m-%d %H:%M:%S') AS list_modified_at,
+               strftime(CASE WHEN oid IS NULL THEN last_seen_at ELSE now END, '%Y-%m-%d %H:%M:%S') AS last_seen_at,
+               CASE WHEN oid IS NULL THEN 'kept' WHEN sid IS NULL THEN 'inserted' ELSE 'updated' END AS change
+        FROM b""",
+    "link_upsert": """
+        SELECT posting_id, size_label AS job, CAST(max(epoch_us(seen_at)) AS BIGINT) AS last_seen FROM list_item
+        WHERE posting_id IS NOT NULL AND size_label IS NOT NULL AND seen_at IS NOT NULL GROUP BY 1, 2""",
+    "company_upsert": """
+        WITH k AS (SELECT * FROM list_item WHERE company_csn IS NOT NULL QUALIFY row_number() OVER (PARTITION BY company_csn ORDER BY seen_at DESC NULLS LAST, item_id DESC) = 1),
+        n AS (SELECT * FROM list_item WHERE company_csn IS NULL AND company_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY company_name ORDER BY seen_at DESC NULLS LAST, item_id DESC) = 1),
+        own AS (SELECT saramin_csn, min(company_id) AS company_id FROM company WHERE saramin_csn IS NOT NULL GROUP BY 1)
+        SELECT c.saramin_csn, CASE WHEN k.item_id IS NULL THEN c.name ELSE k.company_name END AS name, CASE WHEN k.item_id IS NULL THEN c.group_name ELSE k.group_name END AS group_name,
+               CASE WHEN k.item_id IS NULL THEN c.size_label ELSE k.size_label END AS size_label, false AS is_new, c.company_id
+        FROM company c LEFT JOIN own ON own.company_id = c.company_id LEFT JOIN k ON k.company_csn = own.saramin_csn
+        UNION ALL SELECT company_csn, company_name, group_name, size_label, true, NULL FROM k WHERE company_csn NOT IN (SELECT saramin_csn FROM own)
+        UNION ALL SELECT NULL, company_name, group_name, size_label, true, NULL FROM n WHERE company_name NOT IN (SELECT name FROM company WHERE saramin_csn IS NULL AND name IS NOT NULL)""",
 }

@@ -36,20 +36,17 @@ def cut(text: Column, most: int) -> Column:
     return F.substring(F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), 1, most)
 
 
+def retry_after_ms(text: Column) -> Column:
+    """How long to wait for a header of seconds, at most ten minutes; 0 for a date, another text or none."""
+    t = F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.coalesce(F.when(t.rlike(r"^[0-9]{1,6}$"), F.least(t.try_cast("bigint") * 1000, F.lit(600_000))), F.lit(0)).cast("bigint")
+
+
 def url_decoded(text: Column) -> Column:
     """Percent escapes resolved, plus signs kept; a malformed value stays as it is."""
     return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
 
 
-def empty_to_null(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))
-
-
-def one_line(text: Column) -> Column:
-    """No-break spaces as spaces, white space runs as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "\u00a0", " "), r"\s+", " "))
-
-
 def joined(separator: str, *parts: Column) -> Column:
     """The parts that are there, with a separator between them."""
     return F.concat_ws(separator, *parts)

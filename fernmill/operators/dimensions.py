@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fernmill.operators.merge import newest
+from fernmill.session import materialise
 
 MOST_ALIAS = 60
 
@@ -81,3 +82,55 @@ def company_keys(stored: DataFrame, seen: DataFrame) -> DataFrame:
     by_key = stored.where("saramin_csn is not null").groupBy(F.col("saramin_csn").alias("csn")).agg(F.min("company_id").alias("by_key"))
     by_name = stored.where("saramin_csn is null").groupBy("name").agg(F.min("company_id").alias("by_name"))
     return s.join(by_key, "csn", "left").join(by_name, "name", "left").select("name", "csn", F.when(F.col("csn").isNotNull(), F.col("by_key")).otherwise(F.col("by_name")).alias("company_id"))
+
+
+def job_merge(stored: DataFrame, listed: DataFrame) -> DataFrame:
+    """The jobs (job_id, code, name, sort_order) after those of a list (code, name, position) are merged in.
+
+    A stored code takes the list's name and place; others stay; new ones get ids above the highest.
+    """
+    s, n = stored.select("job_id", "code", "name", "sort_order"), newest(listed.where("code is not null").select("code", "name", "position"), ["code"], ["position"])
+    both = s.join(n.select("code", F.col("name").alias("_name"), "position"), "code", "full")
+    top = stored.agg(F.coalesce(F.max("job_id"), F.lit(0)).cast("bigint").alias("top"))
+    w = Window.partitionBy(F.col("job_id").isNull()).orderBy("position", "code")  # a dimension of some dozen rows
+    return both.withColumn("_n", F.row_number().over(w)).crossJoin(F.broadcast(top)).select(
+        F.coalesce("job_id", F.col("top") + F.col("_n")).cast("bigint").alias("job_id"), "code", F.coalesce("_name", "name").alias("name"), F.coalesce("position", "sort_order").alias("sort_order")
+    )
+
+
+def alias_merge(resolved: DataFrame, skills: DataFrame) -> DataFrame:
+    """The alias table (alias, skill_id, text_match) as it stands after resolved rows replace it; aliases that are gone go."""
+    return resolved.join(skills.select(F.col("name").alias("skill"), "skill_id"), "skill").select("alias", "skill_id", "text_match")
+
+
+def company_merge(stored: DataFrame, seen: DataFrame) -> DataFrame:
+    """The companies (company_id, saramin_csn, name, group_name, size_label) after seen ones (csn, name, group_name, size_label, at) are merged in.
+
+    Of a key the last seen counts and overwrites; without one, the lowest company of the same name
+    that has none either stands for it, unchanged; the rest are inserted above the highest id.
+    """
+    cols = ["company_id", "saramin_csn", "name", "group_name", "size_label"]
+    keyed = newest(seen.where("csn is not null").select(F.col("csn").alias("saramin_csn"), "name", "group_name", "size_label", "at"), ["saramin_csn"], ["at", "name"]).drop("at")
+    loose = newest(seen.where("csn is null and name is not null").select("name", "group_name", "size_label", "at"), ["name"], ["at"]).drop("at")
+    own = newest(stored.where("saramin_csn is not null").select("saramin_csn", "company_id", (-F.col("company_id")).alias("_first")), ["saramin_csn"], ["_first"]).drop("_first")
+    fresh = keyed.select(*[F.col(c).alias(f"_{c}") if c != "saramin_csn" else F.col(c) for c in keyed.columns]).join(own, "saramin_csn", "left")
+    updated = stored.select(*cols).join(fresh.where("company_id is not null").drop("saramin_csn").withColumn("_hit", F.lit(True)), "company_id", "left")
+    kept = updated.select("company_id", "saramin_csn", *[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in cols[2:]])
+    new = fresh.where("company_id is null").select("saramin_csn", *[F.col(f"_{c}").alias(c) for c in cols[2:]])
+    unnamed = loose.join(stored.where("saramin_csn is null").select("name").distinct(), "name", "left_anti").select(F.lit(None).cast("string").alias("saramin_csn"), *cols[2:])
+    return kept.unionByName(numbered(new.unionByName(unnamed), stored, "company_id", ["saramin_csn", "name"]).select(*cols))
+
+
+def numbered(rows: DataFrame, stored: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``rows`` with ids counted on above the highest stored one, in the given order, without one task for all.
+
+    Sorted ranges are counted; each range's rows get the number of rows before the range added.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    placed = materialise(placed, "numbered")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    ranges = placed.groupBy("_part").agg(F.count("*").alias("_rows")).withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    top = stored.agg(F.coalesce(F.max(key), F.lit(0)).cast("bigint").alias("_top"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    out = placed.withColumn("_n", within).join(F.broadcast(ranges), "_part").crossJoin(F.broadcast(top))
+    return out.withColumn(key, (F.col("_top") + F.col("_before") + F.col("_n")).cast("bigint")).drop("_part", "_before", "_n", "_top")

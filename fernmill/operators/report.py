@@ -108,10 +108,21 @@ def _plain(v):  # type: ignore[no-untyped-def]
 
 
 def export(parts: dict[str, DataFrame], path: str) -> None:
-    """Write small tables as one JSON document with lower-case names; a part named totals is one object."""
-    out: dict[str, object] = {}
-    for name, df in parts.items():
-        rows = [{k.lower(): _plain(v) for k, v in r.asDict().items()} for r in df.limit(100_000).collect()]
-        out[name] = rows[0] if name == "totals" and rows else rows
+    """Write tables as one JSON document with lower-case names; a part named totals is one object.
+
+    All rows are written, one by one, whatever their number.
+    """
+    line = lambda r: {k.lower(): _plain(v) for k, v in r.asDict().items()}
     with open(path, "w", encoding="utf-8") as f:
-        json.dump(out, f, ensure_ascii=False, indent=2)
+        f.write("{")
+        for n, (name, df) in enumerate(parts.items()):
+            f.write(f"{',' if n else ''}\n  {json.dumps(name, ensure_ascii=False)}: ")
+            if name == "totals":
+                one = df.first()
+                f.write(json.dumps(line(one) if one else None, ensure_ascii=False))
+                continue
+            f.write("[")
+            for k, r in enumerate(df.toLocalIterator()):
+                f.write(f"{',' if k else ''}\n    {json.dumps(line(r), ensure_ascii=False)}")
+            f.write("]")
+        f.write("\n}\n")

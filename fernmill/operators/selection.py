@@ -9,11 +9,14 @@ LIST_TOLERANCE, MISSING_IN_TEN, LEAST_ROWS, HALF_DROP_ROWS = 2, 10, 20, 20
 MOST_FAILURES = 3
 
 
-def current(deliveries: DataFrame) -> DataFrame:
-    """The postings of the last delivery, one row each: the latest seen, then the greatest row."""
+def current(deliveries: DataFrame, *columns: str) -> DataFrame:
+    """The postings of the last delivery, one row each: the latest seen, then the greatest row.
+
+    Only ``columns`` are read (all for none): an aggregate of whole rows prunes nothing.
+    """
     last = deliveries.agg(F.max("snap_no").alias("snap_no"))
-    rows = deliveries.where("posting_id is not null").join(F.broadcast(last), "snap_no", "left_semi")
-    rest = [c for c in rows.columns if c != "posting_id"]
+    rows = deliveries.where("posting_id is not null").join(F.broadcast(last), "snap_no", "left_semi")  # one row
+    rest = [c for c in columns or rows.columns if c != "posting_id"]
     return rows.groupBy("posting_id").agg(F.max(F.struct("last_seen_at", "row_id", F.struct(*rest).alias("all"))).alias("m")).select("posting_id", "m.all.*")
 
 
@@ -28,9 +31,13 @@ def open_per_job(posting: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def detail_targets(posting: DataFrame, n: int | None = None) -> DataFrame:
-    """Open postings whose details are missing and did not fail too often, the newest first."""
-    out = posting.where((F.col("is_closed") == 0) & (F.coalesce("detail_fail_cnt", F.lit(0)) < MOST_FAILURES) & F.col("detail_at").isNull()).select("posting_id")
-    return out.orderBy(F.desc("posting_id")).limit(n) if n else out
+    """Open postings whose details are missing, or older than the modification in the list, and did not fail too often.
+
+    The newest come first; with ``n`` so many of them.
+    """
+    wanted = F.col("detail_at").isNull() | (F.col("list_modified_at") > F.col("detail_at"))
+    out = posting.where((F.col("is_closed") == 0) & (F.coalesce("detail_fail_cnt", F.lit(0)) < MOST_FAILURES) & wanted).select("posting_id").orderBy(F.desc("posting_id"))
+    return out.limit(n) if n else out
 
 
 def skill_targets(posting: DataFrame) -> DataFrame:
@@ -76,7 +83,7 @@ def stale_links(posting: DataFrame, links: DataFrame, last_snap: int) -> DataFra
 def drop_unconfirmed(links: DataFrame, stale: DataFrame, last_snap: int) -> DataFrame:
     """The links without the unconfirmed ones of jobs that are not blocked."""
     safe = stale.where("not blocked").select("job")
-    gone = links.where(F.col("last_snap") < last_snap).join(F.broadcast(safe), "job", "left_semi").select("posting_id", "job")
+    gone = links.where(F.col("last_snap") < last_snap).join(safe, "job", "left_semi").select("posting_id", "job")
     return links.join(gone, ["posting_id", "job"], "left_anti")
 
 
@@ -84,3 +91,19 @@ def retention(posting: DataFrame, now: Column, keep_days: int) -> DataFrame:
     """(posting_id, long_gone): closed postings older than the time their documents are kept."""
     limit = lambda d: now - F.make_dt_interval(F.lit(d))
     return posting.where((F.col("is_closed") == 1) & (F.col("closed_at") < limit(keep_days))).select("posting_id", (F.col("closed_at") < limit(keep_days + 30)).alias("long_gone"))
+
+
+def of_jobs(links: DataFrame, jobs: list[str]) -> DataFrame:
+    """The links of the jobs that a run is set up for."""
+    return links.where(F.col("job").isin(jobs))
+
+
+def code_map(dimension: DataFrame, code: str, key: str) -> dict[int, int]:
+    """code -> key of a dimension, smallest keys first; a table of some hundred rows."""
+    rows = dimension.where(F.col(code).isNotNull()).groupBy(code).agg(F.min(key).alias("k")).limit(CODE_ROWS + 1).collect()
+    if len(rows) > CODE_ROWS:
+        raise ValueError(f"more than {CODE_ROWS} codes: join the dimension instead")
+    return {r[0]: r["k"] for r in rows}
+
+
+CODE_ROWS = 100_000

@@ -1,8 +1,8 @@
 """Weighted shares and ranks of skills within jobs, in exact arithmetic.
 
 A posting that hangs under k jobs counts 1/k in each. The weights are integers (a common
-multiple of all k up to MOST_JOBS, divided by k), so that equal sums are equal and every
-engine ranks alike.
+multiple of all k that occur, divided by k), so that equal sums are equal and every engine
+ranks alike.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Weights are exact for postings under at most so many jobs; more jobs are weighted to within one unit.
-MOST_JOBS = 20
-UNIT = math.lcm(*range(1, MOST_JOBS + 1))
+#: The unit of weight for up to 20 jobs a posting; where more occur, their common multiple is taken.
+UNIT = math.lcm(*range(1, 21))
+#: The greatest unit whose sums over 10^13 postings are exact in 38 digits.
+MOST_UNIT = 10**25
 
 
 def half_up_ratio(part: Column, whole: Column, places: int = 4) -> Column:
@@ -37,8 +38,15 @@ def job_skill_stat(posting: DataFrame, posting_job: DataFrame, posting_skill: Da
     """
     base = base_postings(posting, posting_skill, skill)
     links = posting_job.where("posting_id is not null and job is not null").select("posting_id", "job").distinct().join(base, "posting_id", "left_semi")
-    weight = F.floor(F.lit(UNIT) / F.count("*").over(Window.partitionBy("posting_id"))).cast("bigint")
-    weighted = links.select("posting_id", "job", weight.alias("w"))
+    counted = links.withColumn("k", F.count("*").over(Window.partitionBy("posting_id")))
+    # numbers of jobs that occur, few in all
+    odd = [r[0] for r in posting_job.where("posting_id is not null and job is not null").groupBy("posting_id").agg(F.countDistinct("job").alias("k")).where("k > 20").select("k").distinct().collect()]
+    unit = math.lcm(UNIT, *odd)
+    if unit > MOST_UNIT:
+        raise OverflowError(f"numbers of jobs of a posting up to {max(odd)} have no common unit of 25 digits")
+    exact = F.lit(str(unit)).cast("decimal(26,0)")
+    weight = (exact / F.col("k").cast("decimal(10,0)")).cast("decimal(26,0)") if odd else F.floor(F.lit(UNIT) / F.col("k")).cast("bigint")
+    weighted = counted.select("posting_id", "job", weight.alias("w"))
     total = weighted.groupBy("job").agg(F.count("*").alias("job_total"), F.sum("w").alias("whole"))
     skills = (
         posting_skill.where("posting_id is not null").join(skill.where("is_active = 1").select("skill_id"), "skill_id", "left_semi")

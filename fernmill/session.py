@@ -58,6 +58,12 @@ def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
+def query(spark: SparkSession, sf_dir: str, text: str, **args: object) -> DataFrame:
+    """A SQL query over a data directory's tables, with named parameters (``:name``): values are bound, never pasted."""
+    register(spark, sf_dir, *[t for t in TABLES if t in text])
+    return spark.sql(text, args=args)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 

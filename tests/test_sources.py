@@ -5,9 +5,11 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from fernmill.operators import dimensions, merge
+from fernmill import session
+from fernmill.functions import columns
+from fernmill.operators import dimensions, merge, postings, report, selection, stats
 from fernmill.plans.run import RunInProgress, Runner
-from fernmill.sources import html, seeds, store
+from fernmill.sources import html, schemas, seeds, store
 from fernmill.streaming import deliveries
 
 
@@ -172,6 +174,122 @@ def test_upsert(spark):
     assert merge.upsert(old, new.limit(0), ["k"], {}).count() == 3
 
 
+STATE = "posting_id bigint, title string, deadline_type string, deadline_on date, detail_fail_cnt int, list_modified_at timestamp_ntz, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz"
+SEEN = "posting_id bigint, title string, blank boolean, type string, date date, unknown boolean, modified_at timestamp_ntz, tolerance int, now timestamp_ntz"
+
+
+def test_list_upsert(spark):
+    day, t0, now = datetime(2026, 3, 10).date(), datetime(2026, 3, 1), datetime(2026, 3, 9)
+    later = datetime(2026, 3, 20).date()
+    state = [(i, f"t{i}", "DATE", day, 2, t0, t0, t0) for i in range(1, 8)] + [(8, "t8", "ALWAYS", None, 2, None, t0, t0)]
+    seen = [
+        (1, "x", False, "ROLLING", None, False, None, 60, now), (2, "x", False, "DATE", later, False, None, 60, now), (3, "x", False, "DATE", t0.date(), False, None, 60, now), (4, "", True, "DATE", None, True, None, 60, now),
+        (5, "x", False, "DATE", None, True, t0 + timedelta(minutes=60), 60, now), (6, "x", False, "DATE", None, True, t0 + timedelta(minutes=61), 60, now), (8, "x", False, "DATE", later, False, t0, 60, now),
+        (9, " neu ", False, "DATE", later, False, now, 60, now), (10, " ", True, "DATE", None, True, None, 60, now),
+    ]
+    got = {r.posting_id: r for r in postings.list_upsert(spark.createDataFrame(state, STATE), spark.createDataFrame(seen, SEEN)).collect()}
+    assert {i: (r.deadline_type, r.deadline_on, r.detail_fail_cnt) for i, r in got.items()} == {
+        1: ("ROLLING", None, 2), 2: ("DATE", later, 2), 3: ("DATE", day, 2), 4: ("DATE", day, 2), 5: ("DATE", day, 2), 6: ("DATE", day, 0), 7: ("DATE", day, 2), 8: ("DATE", later, 0), 9: ("DATE", later, 0),
+    }
+    assert got[9].title == "neu" and got[9].change == "inserted" and got[7].change == "kept" and got[7].last_seen_at == t0 and got[4].last_seen_at == now
+    assert postings.list_upsert(spark.createDataFrame([], STATE), spark.createDataFrame([], SEEN)).count() == 0
+
+
+def test_details_saved(spark):
+    schema = "posting_id bigint, career_type string, exp_min int, exp_max int, education string, employment_type string, region string, posted_on date, deadline_on date, detail_at timestamp_ntz, detail_fail_cnt int, other string"
+    day = datetime(2026, 1, 2).date()
+    state = spark.createDataFrame([(1, None, None, None, None, None, None, None, day, None, 2, "o"), (2, "NEW", 1, 2, "e", "m", "r", day, day, datetime(2026, 1, 1), 1, "o"), (3, "NEW", 1, 2, "e", "m", "r", day, day, None, 0, None)], schema)
+    pages = html.detail_pages(spark.createDataFrame([(1, DETAIL.format(req="a", end="채용시")), (2, "no page")], "posting_id bigint, html string"))
+    got = {r.posting_id: r for r in postings.save_details(state, pages, F.lit("2026-10-02 00:00:00").cast("timestamp_ntz")).collect()}
+    assert (got[1].career_type, got[1].exp_min, got[1].posted_on, got[1].deadline_on, got[1].detail_fail_cnt, got[1].other) == (None, None, datetime(2026, 10, 1).date(), day, 0, "o")
+    assert got[2].detail_fail_cnt == 1 and got[3].detail_at is None
+    failed = {r.posting_id: r.detail_fail_cnt for r in postings.add_failures(state, spark.createDataFrame([(1,), (1,), (None,), (9,)], "posting_id bigint")).collect()}
+    assert failed == {1: 4, 2: 1, 3: 0}
+    again = {r.posting_id: (r.detail_at, r.detail_fail_cnt) for r in postings.forget_details(state, spark.createDataFrame([(2,), (2,), (None,)], "posting_id bigint")).collect()}
+    assert again == {1: (None, 2), 2: (None, 0), 3: (None, 0)}
+
+
+def test_dimension_merges(spark):
+    jobs = dimensions.job_merge(spark.createDataFrame([(1, 84, "a", 1), (2, 99, "old", 2)], "job_id bigint, code int, name string, sort_order int"), spark.createDataFrame([(84, "b", 2), (85, "c", 1), (None, "x", 3)], "code int, name string, position int"))
+    assert {tuple(r) for r in jobs.collect()} == {(1, 84, "b", 2), (2, 99, "old", 2), (3, 85, "c", 1)}
+    stored = spark.createDataFrame([(1, "k1", "A", None, None), (2, None, "B", "g", None), (3, None, "B", None, None), (4, "k1", "A2", None, None)], "company_id bigint, saramin_csn string, name string, group_name string, size_label string")
+    seen = spark.createDataFrame([("k1", "A new", "g", "s", 2), ("k1", "A older", None, None, 1), (None, "B", None, None, 1), (None, "C", None, None, 1), (None, "C", "g", None, 2), ("k2", None, None, None, 1), (None, None, None, None, 1)], "csn string, name string, group_name string, size_label string, at int")
+    got = {tuple(r) for r in dimensions.company_merge(stored, seen).collect()}
+    assert {r for r in got if r[0] <= 4} == {(1, "k1", "A new", "g", "s"), (2, None, "B", "g", None), (3, None, "B", None, None), (4, "k1", "A2", None, None)}
+    assert {r[0] for r in got if r[0] > 4} == {5, 6} and {r[1:] for r in got if r[0] > 4} == {("k2", None, None, None), (None, "C", "g", None)}
+    aliases = dimensions.alias_merge(spark.createDataFrame([("자바", "Java", 1)], "alias string, skill string, text_match int"), spark.createDataFrame([(7, "Java")], "skill_id bigint, name string"))
+    assert [tuple(r) for r in aliases.collect()] == [("자바", 7, 1)]
+
+
+def test_migration(spark):
+    old = spark.createDataFrame([(1, 5, "Java", "LANGUAGE", "x")], "skill_id int, saramin_code int, name string, category string, extra string")
+    new = schemas.migrated(old, "skill")
+    assert new.columns == ["skill_id", "saramin_code", "name", "category", "is_active", "extra"] and tuple(new.first()) == (1, 5, "Java", "LANGUAGE", 1, "x")
+    assert schemas.migrated(new, "skill").collect() == new.collect()
+    assert "is_active" not in schemas.columns("skill", 1) and schemas.migrated(spark.createDataFrame([], "posting_id bigint"), "posting_job").columns == ["posting_id", "job_id", "last_seen_at"]
+
+
+def test_report_file(spark, tmp_path):
+    import json
+
+    path = str(tmp_path / "r.json")
+    report.export({"totals": spark.createDataFrame([(1, datetime(2026, 1, 2))], "Postings int, At timestamp_ntz"), "jobs": spark.range(3), "none": spark.range(0)}, path)
+    assert json.load(open(path)) == {"totals": {"postings": 1, "at": "2026-01-02T00:00:00"}, "jobs": [{"id": 0}, {"id": 1}, {"id": 2}], "none": []}
+
+
+def test_weights_of_many_jobs(spark):
+    p = spark.createDataFrame([(i, 0, datetime(2026, 1, 1), 0) for i in range(1, 4)], "posting_id bigint, is_closed int, detail_at timestamp_ntz, is_excluded int")
+    jobs = spark.createDataFrame([(1, f"j{k}") for k in range(23)] + [(2, "j0"), (3, "j0"), (3, "j1")], "posting_id bigint, job string")
+    skills = spark.createDataFrame([(1, 1), (2, 2), (3, 1)], "posting_id bigint, skill_id bigint")
+    got = {(r.job, r.skill_id): r.ratio for r in stats.job_skill_stat(p, jobs, skills, spark.createDataFrame([(1, 1), (2, 1)], "skill_id bigint, is_active int")).collect()}
+    from fractions import Fraction
+
+    share = (Fraction(1, 23) + Fraction(1, 2)) / (Fraction(1, 23) + 1 + Fraction(1, 2))
+    assert float(got["j0", 1]) == round(float(share), 4) and float(got["j5", 1]) == 1.0
+
+
+def test_query_with_parameters(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "skill.parquet"))
+    rows = session.query(spark, str(tmp_path), "SELECT id FROM skill WHERE id > :least AND :name = 'x; DROP'", least=2, name="x; DROP").collect()
+    assert sorted(r.id for r in rows) == [3, 4]
+    waits = spark.createDataFrame([("5",), (" 9999 ",), ("Wed, 21 Oct",), (None,), ("1234567",)], "v string").select(columns.retry_after_ms(F.col("v"))).collect()
+    assert [r[0] for r in waits] == [5000, 600_000, 0, 0, 0]
+    assert selection.code_map(spark.createDataFrame([(7, 2), (7, 1), (None, 3)], "code int, id bigint"), "code", "id") == {7: 1}
+    links = spark.createDataFrame([("a",), ("b",), (None,)], "job string")
+    assert [r.job for r in selection.of_jobs(links, ["a", "c"]).collect()] == ["a"]
+
+
+def test_a_cluster_needs_its_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "yarn"
+        getConf = staticmethod(Conf)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_dir(Session())
+
+
+def test_two_drivers(spark, tmp_path):
+    a, b = Runner(spark, str(tmp_path)), Runner(spark, str(tmp_path))
+    t0 = datetime(2026, 1, 1)
+    version, rows = a._rows()
+    run = b.start(t0)  # between the other's look at the ledger and its write
+    with pytest.raises(store.Conflict):
+        a.ledger.commit(rows, after=version)
+    with pytest.raises(RunInProgress):
+        a.start(t0)
+    assert a.running() == 1
+    b.finish(run, t0, True)
+    assert a.running() == 0
+
+
 def test_runner(spark, tmp_path):
     r = Runner(spark, str(tmp_path))
     t0 = datetime(2026, 1, 1)
