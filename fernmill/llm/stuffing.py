@@ -40,7 +40,18 @@ URL = re.compile(r"(?:https?://|www\.)\S+|(?<![\w@])[\w-]+(?:\.[\w-]+)+/[^\s)\"'
 TERM = re.compile(r"\x01|[^\W_]+(?:[.+'’,-]*[^\W_]+)*[+#]*")
 NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 #: Where a list's segments end; a '#' that begins a tag ends one without white space too, but for the '#' of a name as C#.
-CUT = re.compile(r"\n+|\s{2,}|\s*[,|·ㆍ•/>»›→★☆◆■□▶▷●○♥♡;、，｜~]+\s*|(?<=\S)\s+[-–—]\s+|\s+(?=#)|(?<![^\w#][CFJQcfjq])(?<!^[CFJQcfjq])(?=#\w)|(?<=[.!?])\s+")
+#: The look at the next character keeps the alternatives from being tried at every letter.
+CUT = re.compile(r"(?=[\s,|·ㆍ•/>»›→★☆◆■□▶▷●○♥♡;、，｜~#])(?:\n+|\s{2,}|\s*[,|·ㆍ•/>»›→★☆◆■□▶▷●○♥♡;、，｜~]+\s*|(?<=\S)\s+[-–—]\s+|\s+(?=#)|(?<![^\w#][CFJQcfjq])(?<!^[CFJQcfjq])(?=#\w)|(?<=[.!?])\s+)")
+
+
+def without_links(text: str) -> str:
+    """The text with a sign in the place of each link; only words that hold what every link has are looked at."""
+    low = text.lower()
+    if "<a" in low:  # a tag runs on over spaces
+        return URL.sub("\x01", text)
+    if "/" not in text and "www." not in low:
+        return text
+    return " ".join(URL.sub("\x01", w) if "/" in w or "www." in w.lower() else w for w in text.split(" "))
 
 
 def _spread(hit: np.ndarray, back: int, n: int) -> np.ndarray:
@@ -72,15 +83,20 @@ def recurring_terms(codes: np.ndarray, content: np.ndarray) -> np.ndarray:
 def run_gaps(codes: np.ndarray, doublings: int) -> np.ndarray:
     """At each lag, how many runs of 2 ** doublings terms stand again at that lag; exact, over the whole text."""
     runs = codes
+    count = np.zeros(len(codes), dtype=np.int64)
     for k in range(doublings):
-        runs = np.unique(runs[: -(1 << k)] * (int(runs.max(initial=0)) + 1) + runs[1 << k :], return_inverse=True)[1]
+        if k:
+            runs = np.unique(runs, return_inverse=True)[1]  # small numbers again
+        runs = runs[: -(1 << k)] * (int(runs.max(initial=0)) + 1) + runs[1 << k :]
     n = len(runs)
-    count = np.zeros(len(codes), dtype=np.int64)
     if n < 2:
         return count
     order = np.argsort(runs, kind="stable")
-    sizes = np.bincount(runs)
-    begins = np.cumsum(sizes) - sizes
+    ordered = runs[order]
+    begins = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
+    if len(begins) == n:
+        return count
+    sizes = np.diff(np.append(begins, n))
     # the gaps of a frequent run come from a transform, those of the others one by one
     frequent = sizes * sizes > 16 * n
     width = 1 << (2 * n - 1).bit_length()
@@ -107,13 +123,17 @@ def periodic_terms(codes: np.ndarray) -> np.ndarray:
     """
     n = len(codes)
     out = np.zeros(n, dtype=bool)
+    if n < 9 or not (twos := run_gaps(codes, 1)).any():
+        return out
     lags = np.arange(n)
     wide, copied = np.maximum(8, 2 * lags), np.clip(lags, 8, BLOCK)
     # with e of w terms equal there are at most w - e + 1 runs
     e = np.ceil(PERIODIC * wide)
-    wide_lags = (wide + lags <= n) & (run_gaps(codes, 1) >= np.maximum(2 * e - wide - 1, 1))
+    wide_lags = (wide + lags <= n) & (twos >= np.maximum(2 * e - wide - 1, 1))
     e = np.ceil(COPIED * copied)
-    copied_lags = (lags >= 8) & (copied + lags <= n) & (run_gaps(codes, 2) >= np.maximum(e - 3 * (copied - e + 1), 1))
+    copied_lags = (lags >= 8) & (copied + lags <= n) & (twos >= 3)  # a run of 4 is three of 2 at its lag
+    if copied_lags.any():
+        copied_lags &= run_gaps(codes, 2) >= np.maximum(e - 3 * (copied - e + 1), 1)
     for lag in np.flatnonzero(wide_lags | copied_lags):
         if out.all():
             break
@@ -150,30 +170,36 @@ def functional(words: list[str]) -> bool:
 def measure(text: str) -> dict[str, float]:
     """Shares of a text's characters in recurring, periodic and list spans, and in any."""
     none = {"terms": 0, "recurring": 0.0, "periodic": 0.0, "listed": 0.0, "marked": 0.0}
-    flat = URL.sub("\x01", text)
-    lengths: list[int] = []
-    terms: list[str] = []
-    segment_of: list[int] = []
+    flat = without_links(text)
+    raw: list[str] = []
+    sizes: list[int] = []
     segments: list[bool] = []
     for seg in CUT.split(flat):
         found = TERM.findall(seg)
         if not found:
             continue
-        link = "\x01" in seg
+        raw += found
+        sizes.append(len(found))
+        # a long segment is no list's
+        if len(found) > 2 * LIST_WORDS and "\x01" not in found:
+            segments.append(False)
+            continue
         words = [w.lower() for w in found if w != "\x01"]
-        plain = len(words) <= LIST_WORDS + 2 * link and not functional(words) and ": " not in seg.strip(" :") or (link and len(words) <= LIST_WORDS + 2)
-        segments.append(plain)
-        for w in found:
-            terms.append("\x01" if w == "\x01" else NUMBER.sub("0", w.lower()))
-            lengths.append(24 if w == "\x01" else len(w))
-            segment_of.append(len(segments) - 1)
-    n = len(terms)
+        link = len(words) < len(found)
+        segments.append(len(words) <= LIST_WORDS + 2 * link and ((not functional(words) and ": " not in seg.strip(" :")) or link))
+    n = len(raw)
     if n == 0:
         return none
+    # terms by what is written, then by what they count as
+    written: dict[str, int] = {}
+    first = np.fromiter([written.setdefault(t, len(written)) for t in raw], dtype=np.int64, count=n)
     ids: dict[str, int] = {}
-    codes = np.fromiter((ids.setdefault(t, len(ids)) for t in terms), dtype=np.int64, count=n)
-    content = np.fromiter((t not in FUNCTION_WORDS for t in terms), dtype=bool, count=n)
-    weight = np.asarray(lengths, dtype=np.float64)
+    forms = [t if t == "\x01" else t.lower() if t.isalpha() else NUMBER.sub("0", t.lower()) for t in written]
+    codes = np.array([ids.setdefault(f, len(ids)) for f in forms], dtype=np.int64)[first]
+    content = np.array([f not in FUNCTION_WORDS for f in forms])[first]
+    is_link = np.array([f == "\x01" for f in forms])[first]
+    weight = np.array([24.0 if f == "\x01" else len(t) for t, f in zip(written, forms)])[first]
+    segment_of = np.repeat(np.arange(len(sizes)), sizes)
     recurring, periodic = recurring_terms(codes, content), periodic_terms(codes)
     # runs of list segments, different or not; the skill list of an opening is too small a part of it to count
     in_list = np.zeros(len(segments), dtype=bool)
@@ -185,7 +211,7 @@ def measure(text: str) -> dict[str, float]:
         if end - k >= LIST_RUN:
             in_list[k:end] = True
         k = max(end, k + 1)
-    listed = in_list[np.asarray(segment_of)] | linked_terms(np.fromiter((t == "\x01" for t in terms), dtype=bool, count=n))
+    listed = in_list[segment_of] | linked_terms(is_link)
     total = weight.sum()
     return {
         "terms": n,
