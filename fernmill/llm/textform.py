@@ -97,6 +97,7 @@ class Transducer:
         #: Letters with accents, apart: another mark may have to go before the accent.
         pairs = {made: unicodedata.normalize("NFD", made) for f in edges.values() for made in f.values()}
         self.apart = {made: d for made, d in pairs.items() if all(map(unicodedata.combining, d[1:]))}
+        self.plain = re.compile(PLAIN).match
         self.clusters = regex.compile(r"\X").findall
         #: Anything that could change; a text without it is passed through.
         letter = "".join(map(re.escape, self.letters))
@@ -130,7 +131,7 @@ class Transducer:
         return out + "".join(left)
 
     def apply(self, text: str) -> str:
-        if not self.dirty.search(text) and unicodedata.is_normalized("NFC", text):
+        if self.plain(text) or not self.dirty.search(text) and unicodedata.is_normalized("NFC", text):
             return text
         out: list[str] = []
         letter, marks = "", []  # read, but not written: something may follow that belongs to it
