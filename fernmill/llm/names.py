@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fernmill.functions.lookalikes import LOOKALIKES
-from fernmill.session import materialise
+from fernmill.session import materialise, spread
 
 #: Words with several usual spellings, as written in Hangul, in Latin letters, and shortened; fixed values. They only
 #: bring such spellings to one form, the first; what is compared with what doesn't depend on them.
@@ -336,6 +336,8 @@ def pivots_of(forms: DataFrame) -> list[str]:
 
 #: What a signature is of.
 SAME, WHOLE, SHORT = 0, 1, 2
+#: About so many signatures a name has in all its cells, and the rows of them that a task takes at once.
+SIGNATURES, PARTITION_ROWS = 150, 4_000_000
 #: Signatures are polynomial hashes of rows of syllables, modulo a prime.
 _PRIME, _BASE = (1 << 61) - 1, 911_382_323_344_331_771
 
@@ -392,17 +394,43 @@ def within(a: str, b: str) -> bool:
 
 
 def assign(forms: DataFrame, pivots: list[str]) -> DataFrame:
-    """(form, cell, home): the nearest pivot's cell, and every cell within reach of it."""
+    """(id, form, cell): the nearest pivot's cell, and every cell within reach of it, of names (id, form)."""
     reach = 2 * RADIUS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = np.stack([distances(b.column(0).to_pylist(), p) for p in pivots], axis=1)
+            d = np.stack([distances(b.column(1).to_pylist(), p) for p in pivots], axis=1)
             row, cell = np.nonzero(d <= d.min(axis=1, keepdims=True) + reach)
-            home = cell == d.argmin(axis=1)[row]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(home)], names=["form", "cell", "home"])
-
-    return forms.select("form").mapInArrow(run, "form string, cell int, home boolean")
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(row)) for c in b.columns], pa.array(cell.astype(np.int32))], names=["id", "form", "cell"])
+
+    return forms.select("id", "form").mapInArrow(run, "id bigint, form string, cell int")
+
+
+def meeting(cell: np.ndarray, sig: np.ndarray, role: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b), a < b: the names that a signature of a cell brings together; SAME with itself, WHOLE with SHORT."""
+    if len(ids) < 2:
+        return ids[:0], ids[:0]
+    same = role == SAME
+    order = np.lexsort((ids, sig, same, cell))
+    cell, sig, same, role, ids = cell[order], sig[order], same[order], role[order], ids[order]
+    new = np.concatenate(([True], (cell[1:] != cell[:-1]) | (sig[1:] != sig[:-1]) | (same[1:] != same[:-1])))
+    group = np.cumsum(new) - 1
+    left, right, d = [], [], 1
+    # neighbours of a group at every distance; a SAME group has as many names as there are sounds
+    at = np.flatnonzero(same)
+    while len(at := at[at + d < len(ids)]) and len(at := at[group[at + d] == group[at]]):
+        left.append(ids[at]), right.append(ids[at + d])
+        d += 1
+    whole = np.full(group[-1] + 1, -1, dtype=np.int64)
+    w = np.flatnonzero(role == WHOLE)
+    whole[group[w]] = w
+    short = np.flatnonzero(role == SHORT)
+    short = short[whole[group[short]] >= 0]
+    left.append(ids[whole[group[short]]]), right.append(ids[short])
+    a, b = np.concatenate(left), np.concatenate(right)
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    return pairs[:, 0], pairs[:, 1]
 
 
 def radius_join(forms: DataFrame) -> DataFrame:
@@ -410,40 +438,48 @@ def radius_join(forms: DataFrame) -> DataFrame:
 
     ``forms`` has distinct names (form, spellings). Names meet inside the cells, by cell and
     signature; a signature's names differ in one sound, or by one syllable that one has more, so
-    they are as few as there are sounds and syllables.
+    they are as few as there are sounds and syllables. What goes through the shuffle is hashes;
+    names whose hashes are equal by chance are told apart by their distance.
     """
     pivots = pivots_of(forms)
     if not pivots:
         return forms.select(F.col("form").alias("a"), F.col("form").alias("b")).limit(0)
+    numbered = forms.select(F.xxhash64("form").alias("id"), "form", "spellings")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            of = [signatures(f) for f in b.column(0).to_pylist()]
-            row = np.repeat(np.arange(b.num_rows), [len(x) for x in of])
+            of = [signatures(f) for f in b.column(1).to_pylist()]
+            row = pa.array(np.repeat(np.arange(b.num_rows), [len(x) for x in of]))
             sig = pa.array([s for x in of for s, _ in x], pa.int64())
             role = pa.array([r for x in of for _, r in x], pa.int8())
-            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(row)) for c in b.columns], sig, role], names=[*b.schema.names, "sig", "role"])
-
-    placed = assign(forms, pivots).mapInArrow(sign, "form string, cell int, home boolean, sig bigint, role tinyint")
-    # role SAME meets itself; a WHOLE, one at most, meets each SHORT
-    same, at = F.col("role") == SAME, F.struct("form", "home")
-    met = placed.groupBy("cell", same.alias("same"), "sig").agg(F.collect_list(F.when(F.col("role") != WHOLE, at)).alias("at"), F.max(F.when(F.col("role") == WHOLE, at)).alias("whole"))
-    one = met.where(F.col("same") & (F.size("at") > 1) | F.col("whole").isNotNull()).select("at", F.explode(F.when(F.col("same"), F.col("at")).otherwise(F.array("whole"))).alias("x"))
-    two = one.select("x", F.explode("at").alias("y")).where((F.col("x.form") != F.col("y.form")) & (F.col("x.home") | F.col("y.home")))
-    pairs = two.select(F.least("x.form", "y.form").alias("a"), F.greatest("x.form", "y.form").alias("b")).distinct()
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(2).take(row), sig, role], names=["id", "cell", "sig", "role"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)  # one partition of the shuffle, of numbers only
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        a, b = meeting(*(t.column(c).to_numpy() for c in ("cell", "sig", "role", "id")))
+        for at in range(0, len(a), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 10_000]), pa.array(b[at : at + 10_000])], names=["a", "b"])
+
+    placed = assign(spread(numbered), pivots).mapInArrow(sign, "id bigint, cell int, sig bigint, role tinyint")
+    parts = -(-forms.count() * SIGNATURES // PARTITION_ROWS)
+    default = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a task holds a partition's numbers: more names, more partitions
+    met = placed.repartition(parts, "cell", "sig") if parts > default else placed.repartition("cell", "sig")
+    pairs = met.mapInArrow(meet, "a bigint, b bigint").distinct()
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [within(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    def slips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [any(one_slip(x, y) for x in p for y in q) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    spelt = lambda c, n: forms.select(F.col("form").alias(c), F.col("spellings").alias(n))
-    linked = pairs.mapInArrow(near, "a string, b string").join(spelt("a", "p"), "a").join(spelt("b", "q"), "b").select("a", "b", "p", "q").mapInArrow(slips, "a string, b string")
+            f, g, p, q = (b.column(i).to_pylist() for i in range(4))
+            keep = [within(x, y) and any(one_slip(s, t) for s in u for t in v) for x, y, u, v in zip(f, g, p, q)]
+            kept = b.select(["f", "g"]).filter(pa.array(keep, pa.bool_()))
+            yield kept.rename_columns(["a", "b"])
+
+    of = lambda c, f, p: numbered.select(F.col("id").alias(c), F.col("form").alias(f), F.col("spellings").alias(p))
+    met = pairs.join(of("a", "f", "p"), "a").join(of("b", "g", "q"), "b").select(F.least("f", "g").alias("f"), F.greatest("f", "g").alias("g"), F.when(F.col("f") < F.col("g"), F.col("p")).otherwise(F.col("q")).alias("p"), F.when(F.col("f") < F.col("g"), F.col("q")).otherwise(F.col("p")).alias("q"))
+    linked = met.mapInArrow(near, "a string, b string")
     # a Latin and a Hangul spelling of equal letters: an equi-join, with a row for each way to spell a name
     letters = F.replace("form", F.lit(SILENT), F.lit("")).alias("letters")
     left, right = (forms.select(letters, F.col("form").alias(c)) for c in ("a", "b"))

@@ -128,6 +128,20 @@ def test_empty(spark):
     assert names.company_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_meeting_against_brute_force():
+    rnd = random.Random(2)
+    rows = sorted({(rnd.randint(0, 1), rnd.randint(0, 8), rnd.choice([names.SAME, names.SHORT]), rnd.randint(0, 12)) for _ in range(120)})
+    rows += [(c, s, names.WHOLE, 20 + s) for c in range(2) for s in range(0, 9, 2)]
+    want = set()
+    for x, y in itertools.combinations(rows, 2):
+        if x[:2] == y[:2] and x[3] != y[3] and ({x[2], y[2]} == {names.SAME} or {x[2], y[2]} == {names.WHOLE, names.SHORT}):
+            want.add((min(x[3], y[3]), max(x[3], y[3])))
+    a, b = names.meeting(*(names.np.array(c) for c in zip(*rows)))
+    assert want and sorted(zip(a.tolist(), b.tolist())) == sorted(want)
+    none = names.np.array([], dtype="int64")
+    assert [len(x) for x in names.meeting(none, none, none, none)] == [0, 0]
+
+
 def test_cells_keep_all_links(spark, monkeypatch):
     rnd = random.Random(5)
     base = ["".join(rnd.choice("가나다라곤덜밀벤솔하") for _ in range(4)) for _ in range(60)]
