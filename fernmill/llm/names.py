@@ -270,8 +270,8 @@ def one_slip(x: str, y: str) -> bool:
 CELL, MOST_PIVOTS = 4000, 256
 #: Names, those with the least hashes, among which pivots are picked.
 PIVOT_SAMPLE = 4096
-#: Names of more syllables are measured one by one.
-LONGEST = 32
+#: Names of more syllables are measured one by one; so many of the others at a time.
+LONGEST, AT_A_TIME = 32, 2000
 
 
 def _codes(forms: list[str], ids: dict[Syllable, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -279,7 +279,7 @@ def _codes(forms: list[str], ids: dict[Syllable, int]) -> tuple[np.ndarray, np.n
     rows = [syllables(f) for f in forms]
     size = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
     width = int(size.max(initial=1))
-    sounds = np.full((len(rows), width, 3), -1, dtype=np.int32)
+    sounds = np.full((len(rows), width, 3), -1, dtype=np.int32)  # character codes
     number = np.full((len(rows), width), -1, dtype=np.int64)
     for i, r in enumerate(rows):
         for j, x in enumerate(r):
@@ -289,7 +289,9 @@ def _codes(forms: list[str], ids: dict[Syllable, int]) -> tuple[np.ndarray, np.n
 
 
 def distances(forms: list[str], pivot: str) -> np.ndarray:
-    """``distance`` of each name to one, all names at a time."""
+    """``distance`` of each name to one, so many names at a time as stay in a core's cache."""
+    if len(forms) > AT_A_TIME:
+        return np.concatenate([distances(forms[at : at + AT_A_TIME], pivot) for at in range(0, len(forms), AT_A_TIME)])
     p, ids = syllables(pivot), {}
     out = np.zeros(len(forms), dtype=np.int64)
     long = [i for i, f in enumerate(forms) if len(syllables(f)) > LONGEST]
@@ -301,7 +303,7 @@ def distances(forms: list[str], pivot: str) -> np.ndarray:
     (q, qn, _), (a, an, size) = _codes([pivot], ids), _codes([forms[i] for i in short], ids)
     n, width, m = len(short), a.shape[1], len(p)
     far = 2 * (width + m) + 1
-    d = np.full((n, width + 2, m + 2), far, dtype=np.int64)
+    d = np.full((n, width + 2, m + 2), far, dtype=np.int32)
     d[:, 1:, 1] = np.arange(width + 1)
     d[:, 1, 1:] = np.arange(m + 1)
     last, every = np.zeros((n, m + 1), dtype=np.int64), np.arange(n)
@@ -347,6 +349,7 @@ def _code(s: Syllable) -> int:
     return int.from_bytes(hashlib.blake2b("|".join(s).encode(), digest_size=8).digest(), "big") % _PRIME
 
 
+@lru_cache(maxsize=4096)
 def signatures(form: str) -> list[tuple[int, int]]:
     """(signature, role) by which all names within RADIUS meet, in time linear in the name's length.
 
