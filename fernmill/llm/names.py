@@ -288,20 +288,26 @@ def _codes(forms: list[str], ids: dict[Syllable, int]) -> tuple[np.ndarray, np.n
     return sounds, number, size
 
 
-def distances(forms: list[str], pivot: str) -> np.ndarray:
-    """``distance`` of each name to one, so many names at a time as stay in a core's cache."""
+def distances(forms: list[str], pivots: list[str]) -> np.ndarray:
+    """``distance`` of each name to each pivot, so many names at a time as stay in a core's cache."""
     if len(forms) > AT_A_TIME:
-        return np.concatenate([distances(forms[at : at + AT_A_TIME], pivot) for at in range(0, len(forms), AT_A_TIME)])
-    p, ids = syllables(pivot), {}
-    out = np.zeros(len(forms), dtype=np.int64)
+        return np.concatenate([distances(forms[at : at + AT_A_TIME], pivots) for at in range(0, len(forms), AT_A_TIME)])
+    out = np.zeros((len(forms), len(pivots)), dtype=np.int64)
     long = [i for i, f in enumerate(forms) if len(syllables(f)) > LONGEST]
     short = sorted(set(range(len(forms))) - set(long))
     for i in long:
-        out[i] = distance(syllables(forms[i]), p)
-    if not short:
-        return out
-    (q, qn, _), (a, an, size) = _codes([pivot], ids), _codes([forms[i] for i in short], ids)
-    n, width, m = len(short), a.shape[1], len(p)
+        out[i] = [distance(syllables(forms[i]), syllables(p)) for p in pivots]
+    if short:
+        ids: dict[Syllable, int] = {}
+        coded = _codes([forms[i] for i in short], ids)
+        for c, p in enumerate(pivots):
+            out[short, c] = _distances(coded, _codes([p], ids))
+    return out
+
+
+def _distances(names: tuple[np.ndarray, np.ndarray, np.ndarray], pivot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    (a, an, size), (q, qn, _) = names, pivot
+    n, width, m = len(a), a.shape[1], int(pivot[2][0])
     far = 2 * (width + m) + 1
     d = np.full((n, width + 2, m + 2), far, dtype=np.int32)
     d[:, 1:, 1] = np.arange(width + 1)
@@ -316,8 +322,7 @@ def distances(forms: list[str], pivot: str) -> np.ndarray:
             d[:, i + 1, j + 1] = np.minimum(np.minimum(d[:, i, j] + cost, swap), np.minimum(d[:, i + 1, j], d[:, i, j + 1]) + 1)
             at = np.where(cost == 0, j, at)
         last[:, 1:] = np.where(an[:, i - 1, None] == qn[0][None, :m], i, last[:, 1:])
-    out[short] = d[every, size + 1, m + 1]
-    return out
+    return d[every, size + 1, m + 1]
 
 
 def pivots_of(forms: DataFrame) -> list[str]:
@@ -329,10 +334,10 @@ def pivots_of(forms: DataFrame) -> list[str]:
     if not sample:
         return []
     picked = [sample[0]]
-    near = distances(sample, picked[0])
+    near = distances(sample, picked)[:, 0]
     while len(picked) < min(MOST_PIVOTS, -(-n // CELL)) and near.max() > 0:
         picked.append(sample[int(near.argmax())])
-        near = np.minimum(near, distances(sample, picked[-1]))
+        near = np.minimum(near, distances(sample, picked[-1:])[:, 0])
     return picked
 
 
@@ -402,7 +407,7 @@ def assign(forms: DataFrame, pivots: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = np.stack([distances(b.column(1).to_pylist(), p) for p in pivots], axis=1)
+            d = distances(b.column(1).to_pylist(), pivots)
             row, cell = np.nonzero(d <= d.min(axis=1, keepdims=True) + reach)
             yield pa.RecordBatch.from_arrays([*[c.take(pa.array(row)) for c in b.columns], pa.array(cell.astype(np.int32))], names=["id", "form", "cell"])
 

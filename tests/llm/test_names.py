@@ -70,8 +70,9 @@ def some_forms(rnd, n, long=15):
 
 def test_distances_of_many():
     forms = [*some_forms(random.Random(3), 160, 45), ""]
-    for p in forms[::17]:
-        assert distances(forms, p).tolist() == [distance(syllables(f), syllables(p)) for f in forms]
+    pivots = forms[::17]
+    assert distances(forms, pivots).tolist() == [[distance(syllables(f), syllables(p)) for p in pivots] for f in forms]
+    assert distances(forms * 20, pivots[:2]).shape == (20 * len(forms), 2)
 
 
 def test_signatures_against_brute_force():
