@@ -15,6 +15,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import chain
+from operator import eq
 from typing import Any
 
 import pyarrow as pa
@@ -170,7 +171,7 @@ class WuManber:
     def _leaked(self, item: list[int], text: list[int], offset: int) -> bool:
         """Whether LEAST words in a row of an item stand at this offset, one in ONE_IN replaced at most."""
         lo, hi = max(0, -offset), min(len(item), len(text) - offset)
-        if hi - lo < LEAST:
+        if hi - lo < LEAST or sum(map(eq, item[lo:hi], text[lo + offset : hi + offset])) < LEAST - LEAST // ONE_IN:
             return False
         # f(k) = words - ONE_IN * replaced words before k; f(j) >= f(i) for j >= i + LEAST
         f, values, least = 0, [0], None
