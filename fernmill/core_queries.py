@@ -24,10 +24,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- statistic and report -----------------------------------------------------------------
+#: The columns of deliveries that the queries on current postings read.
+CURRENT = (
+    "company_id title region career_type deadline_type deadline_on is_headhunting is_closed is_excluded closed_at first_seen_at last_seen_at list_modified_at detail_at detail_fail_cnt"
+).split()
+
+
 def _state(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(current postings, area links, posting skills, skills)."""
     deliveries = table(spark, d, "posting")
-    return selection.current(deliveries), selection.area_links(deliveries), table(spark, d, "posting_skill"), table(spark, d, "skill")
+    return selection.current(deliveries, *CURRENT), selection.area_links(deliveries), table(spark, d, "posting_skill"), table(spark, d, "skill")
 
 
 def job_skill_stat(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +109,7 @@ def _before(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     deliveries = table(spark, d, "posting")
     last = deliveries.agg(F.max("snap_no").alias("snap_no"))
     earlier = deliveries.join(F.broadcast(last), "snap_no", "left_anti")
-    return selection.current(earlier), selection.current(deliveries), selection.area_links(deliveries)
+    return selection.current(earlier, *CURRENT), selection.current(deliveries, *CURRENT), selection.area_links(deliveries)
 
 
 def missing_guard_job(spark: SparkSession, d: str) -> DataFrame:

@@ -49,3 +49,18 @@ def test_the_rest_does_not_need_llm():
         for f in files:
             if f.endswith(".py"):
                 assert "fernmill.llm" not in open(os.path.join(folder, f), encoding="utf-8").read()
+
+
+def test_run_modes(spark, tmp_path):
+    import json
+    from datetime import datetime
+
+    from fernmill.plans import modes
+    from fernmill.sources.store import VersionedTable
+
+    out = str(tmp_path / "out")
+    assert modes.local_run(spark, DATA, out, clock=lambda: datetime(2026, 1, 1)) == 1
+    made = json.load(open(f"{out}/report.json", encoding="utf-8"))
+    assert set(made) == set(modes.REPORT) and made["totals"]["postings"] > 0 and made["jobs"]
+    assert VersionedTable(spark, f"{out}/posting_skill").read().count() == core_queries.queries()["match_raw_skills"](spark, DATA).count()
+    assert [(r.run_id, r.status) for r in VersionedTable(spark, f"{out}/ledger").read().collect()] == [(1, "DONE")]
