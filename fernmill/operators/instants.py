@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fernmill.functions.lookalikes import LOOKALIKES
-from fernmill.session import materialise, scratch, spread
+from fernmill.session import delete_path, materialise, path_exists, scratch, spread
 from fernmill.sources.store import Conflict, Pointer
 
 DEFAULT_ZONE = "Asia/Seoul"
@@ -273,6 +273,9 @@ class ValueDictionary:
 
     def _add(self, counted: DataFrame) -> None:
         v, of = self.pointer.read()
+        if not all(path_exists(self.spark, f"{self.path}/{f}") for f in of.get("folders", ())):
+            delete_path(self.spark, self.path)  # someone cleaned the folder in part: what is left is of no use
+            v, of = 0, {}
         distinct = counted.select("kind", "raw", "zone")
         if v:
             known = self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/{f}" for f in of["folders"]])

@@ -133,6 +133,12 @@ def test_dictionary_grows(spark):
     d.extend(values("2026.03.09"))
     want = {("어제 등록", 0), ("2026.03.08", 0), ("2026.03.09", 1)}
     assert {(r.raw, r.batch) for r in d.table().collect()} == want and d.pointer.read()[0] == 2
+    # a folder that someone removed is made again
+    import shutil
+
+    shutil.rmtree(f"{d.path.removeprefix('file:')}/{d.pointer.read()[1]['folders'][0]}")
+    d.extend(values("어제 등록", "2026.03.08", "2026.03.09"))
+    want = {(raw, 0) for raw, _ in want}
     # another session finds it again
     assert {(r.raw, r.batch) for r in instants.ValueDictionary(spark, d.path).table().collect()} == want
 
