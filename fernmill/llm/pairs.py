@@ -14,7 +14,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fernmill.session import delete_path, materialise, small, state_dir, table
+from fernmill.session import delete_path, materialise, path_exists, small, state_dir, table
 from fernmill.sources.store import Conflict, Pointer, folders
 
 #: Rows a bucket is meant to hold; with more on average the number of buckets doubles.
@@ -153,6 +153,9 @@ class PairTable:
     def sync(self, rows: DataFrame, basket: str, item: str) -> None:
         """Make the state that of ``rows``: baskets that differ from their stored form are changed, others untouched."""
         v, of = self.pointer.read()
+        if not all(path_exists(self.spark, f"{self.path}/{f}") for f in (_folders(of) if v else ())):
+            delete_path(self.spark, self.path)  # someone cleaned the folder in part: the rows have all that is needed
+            v, of = 0, {}
         new = baskets(rows, basket, item)
         if v and (old := self._read(of, "baskets")) is not None:
             new = new.join(old.select("basket", F.col("items").alias("was")), "basket", "full")

@@ -112,6 +112,16 @@ def test_a_lost_run_loses_nothing(spark, tmp_path, monkeypatch):
     check(t, a + late)
 
 
+def test_a_folder_cleaned_in_part(spark, tmp_path):
+    import shutil
+
+    t, a = PairTable(spark, str(tmp_path / "t")), rows(random.Random(6), 80)
+    t.sync(spark.createDataFrame(a, SCHEMA), "posting_id", "skill_id")
+    shutil.rmtree(next((tmp_path / "t").glob("pairs-*")))
+    t.sync(spark.createDataFrame(a, SCHEMA), "posting_id", "skill_id")
+    check(t, a)
+
+
 def test_a_long_basket_is_spread(spark, monkeypatch):
     monkeypatch.setattr(pairs, "BLOCK", 5)
     sets = spark.createDataFrame([(list(range(23)), 2), ([3, 9], 5), ([3], 1)], "items array<bigint>, weight bigint")
