@@ -47,6 +47,7 @@ def test_values(body, want):
     assert html.summary_value(html.tree(f"<dl><dd>{body}</dd></dl>").children[0].children[0]) == want
 
 
+#: Pages in the layout that is read, and what is read from them.
 ITEM = """<div class="list_item" id="{id}"><div class="company_nm">{name}<span class="main_corp">가상그룹</span> 헤드헌팅</div>
 <div class="job_tit"><a title="R&amp;amp;D" href="#">{title}</a></div><div class="job_sector"><span>자바</span><span>웹</span></div>
 <p class="work_place">서울</p><div class="support_detail"><span class="date">~10.18</span><span class="deadlines">어제 등록</span></div></div>"""
