@@ -324,6 +324,11 @@ def known_zone(c: Column) -> Column:
     return F.when(c.isNull(), DEFAULT_ZONE).when(c.isin(sorted(available_timezones())), c)
 
 
+def utc(second: Column) -> Column:
+    """The wall time in UTC of an epoch second, whatever the session's zone."""
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), second.cast("decimal(18,6)"))
+
+
 def next_month_day(month_day: Column, day: Column) -> Column:
     """The first such day not earlier than 30 days before ``day``; leap days wait for their year."""
     least = F.date_sub(day, 30)
@@ -348,18 +353,18 @@ def normalised(list_item: DataFrame, posting: DataFrame, dictionary: ValueDictio
     texts = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_text").alias("raw")) for k in ("deadline", "posted")]))
     items = item.select(F.col("item_id").alias("row_key"), texts.alias("t"), F.coalesce("zone", F.lit("?")).alias("zone"), "seen_at").select("row_key", "t.kind", "t.raw", "zone", "seen_at")
     posts = posting.select(
-        F.col("row_id").alias("row_key"), F.lit("modified").alias("kind"), F.col("list_modified_at").alias("raw"), F.lit(DEFAULT_ZONE).alias("zone"), F.to_utc_timestamp(F.col("snap_on").cast("timestamp"), "UTC").alias("seen_at")
+        F.col("row_id").alias("row_key"), F.lit("modified").alias("kind"), F.col("list_modified_at").alias("raw"), F.lit(DEFAULT_ZONE).alias("zone"), F.timestamp_seconds(F.datediff("snap_on", F.lit("1970-01-01").cast("date")) * 86400).alias("seen_at")
     )
     rows = items.unionByName(posts).where(F.col("raw").isNotNull() & F.col("row_key").isNotNull())
     counted = dictionary.extend(rows.select("kind", "raw", "zone"))
     # the day at the site is worked out once, before the forms of a meaning are told apart
     zone = F.when(F.col("zone") != "?", F.col("zone"))
-    found = dictionary.join(rows, counted, "row_key").withColumn("seen_day", F.when(F.col("kind") == "deadline", F.to_date(F.from_utc_timestamp("seen_at", zone))))
+    found = dictionary.join(rows, counted, "row_key").withColumn("seen_day", F.when(F.col("kind") == "deadline", F.to_date(F.convert_timezone(F.lit("UTC"), zone, utc(F.floor(F.unix_micros("seen_at") / 1_000_000))))))
 
     seen_s = F.floor(F.unix_micros("seen_at") / 1_000_000).cast("bigint")
     second = F.when(F.col("means") == "instant", F.col("value")).when((F.col("means") == "ago") & (F.col("kind") == "posted"), seen_s - F.col("value"))
     fresh = F.col("seen_at").isNull() | (seen_s - second <= MOST_DAYS_AGO * 86400)
-    instant = F.when(fresh, F.date_format(F.timestamp_seconds(second), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    instant = F.when(fresh, F.date_format(utc(second), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     seen_day = F.col("seen_day")
     day = (
         F.when(F.col("means") == "day", F.date_add(F.lit("1970-01-01").cast("date"), F.col("value").cast("int")))

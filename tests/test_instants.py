@@ -158,3 +158,18 @@ def test_next_month_day(spark):
     df = spark.createDataFrame([(m, d.date(), w) for m, d, w in cases], "m bigint, d date, want string")
     got = df.select(instants.next_month_day(instants.F.col("m"), instants.F.col("d")).cast("string").alias("x"), "want").collect()
     assert [r.x for r in got] == [r.want for r in got]
+
+
+def test_whatever_the_zone_of_the_session(spark):
+    seen = spark.sql("SELECT timestamp_seconds(1773085200) AS t")  # the 9th in UTC, the 10th in Seoul
+    items = seen.selectExpr("1L AS item_id", "'D-1' AS deadline_text", "'어제 등록' AS posted_text", "t AS seen_at", "'Asia/Seoul' AS site_tz")
+    posts = spark.sql("SELECT 1L AS row_id, '2026.06.28' AS list_modified_at, DATE '2026-06-29' AS snap_on")
+    found = []
+    for zone in ("UTC", "Asia/Seoul", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            found.append(sorted(tuple(r) for r in instants.normalised(items, posts).collect()))
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert found[0] == [("deadline", 1, "2026-03-11"), ("modified", 1, "2026-06-27T15:00:00Z"), ("posted", 1, "2026-03-08T19:40:00Z")]
+    assert found[1] == found[0] == found[2]
